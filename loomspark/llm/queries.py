@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, token_blocks
+from . import chat, decontaminate, quality, token_blocks
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -28,7 +28,25 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    told = "</s>[INST] ok [/INST]"
+    probe = spark.range(2).selectExpr(
+        "-1L as conv_id", "id as turn", "if(id = 0, 'user', 'assistant') as role", f"'{told}' as text"
+    )
+    return chat.digest(chat.format_chats(turns.select(*probe.columns).unionByName(probe)))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_blocks": op4_token_blocks,
     "op5_decontaminate": op5_decontaminate,
+    "op9_chat_format": op9_chat_format,
+    "op10_quality_rules": op10_quality_rules,
 }

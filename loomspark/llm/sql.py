@@ -25,3 +25,58 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
   sha256(coalesce(s, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+ORACLE_SQL["op9_chat_format"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, length(regexp_replace(text, '([<\[]/?)(\\*)(s>|INST\]|SYS\]|ANS\]|ROLE\]|\+\])', '\1\\\2\3', 'g')) AS n,
+    length(regexp_replace(role, '([<\[]/?)(\\*)(s>|INST\]|SYS\]|ANS\]|ROLE\]|\+\])', '\1\\\2\3', 'g')) AS r,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before FROM t)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(n + CASE WHEN before = role THEN 3 WHEN role = 'user' THEN 13 WHEN role = 'system' THEN 11
+    WHEN role = 'assistant' THEN 9 ELSE 16 + r END))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+ORACLE_SQL["op10_quality_rules"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, doc_id, lang AS stratum, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+v AS (SELECT id, unnest(range(1, len(w) - 3)) AS i, w FROM d WHERE len(w) >= 5),
+rep AS (SELECT id, i, count(*) OVER (PARTITION BY id, w[i : i + 4]) AS c FROM v),
+cov AS (SELECT id, count(DISTINCT k) AS n FROM (SELECT id, unnest(range(i, i + 5)) AS k FROM rep WHERE c > 1) GROUP BY id),
+m AS (
+  SELECT doc_id, stratum, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
+    length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, length(t) - length(replace(t, '!', '')) AS n_marks,
+    len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM d LEFT JOIN cov USING (id)),
+s AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    coalesce(n_symbols * 1000 // nullif(n_words, 0), 0) AS symbols, coalesce(n_marks * 1000 // nullif(n_words, 0), 0) AS marks,
+    coalesce(n_dup_lines * 1000 // nullif(n_lines, 0), 0) AS dup_lines, coalesce(n_repeat_words * 1000 // nullif(n_words, 0), 0) AS repeats
+  FROM m),
+long AS (UNPIVOT (SELECT s.*, g.good FROM s JOIN (SELECT doc_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) g
+  ON s.doc_id = g.doc_id WHERE NOT base_failed) ON symbols, marks, dup_lines, repeats INTO NAME rule VALUE score),
+c AS (
+  SELECT stratum, rule, cutoff, sum((good = 1)::INT)::DOUBLE AS n, sum((good = 1 AND score > cutoff)::INT)::DOUBLE AS k,
+    sum((good = 0)::INT) AS n_bad, sum((good = 0 AND score > cutoff)::INT) AS bad
+  FROM long, (SELECT unnest([0, 5, 10, 20, 30, 50, 75, 100, 150, 200, 300, 400, 500, 700, 1000, 1500, 2000]) AS cutoff) GROUP BY ALL),
+p AS (
+  SELECT *, count(*) OVER () AS tests, CASE WHEN k >= n * 0.0125 THEN 1 ELSE list_sum(list_transform(range(0, k::BIGINT + 1), lambda j:
+    exp(lgamma(n + 1) - lgamma(j + 1.0) - lgamma(n - j + 1) + j * ln(0.0125) + (n - j) * ln(0.9875)))) END AS p FROM c),
+cut AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM p WHERE p <= 0.05 / tests AND bad > 0 AND bad >= 3 * 0.0125 * n_bad GROUP BY ALL),
+wide AS (
+  SELECT stratum, min(cutoff) FILTER (rule = 'symbols') AS a, min(cutoff) FILTER (rule = 'marks') AS b,
+    min(cutoff) FILTER (rule = 'dup_lines') AS c, min(cutoff) FILTER (rule = 'repeats') AS d FROM cut GROUP BY stratum)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+  n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT (base_failed OR coalesce(symbols > a, false) OR coalesce(marks > b, false) OR coalesce(dup_lines > c, false)
+    OR coalesce(repeats > d, false)) AS kept
+FROM s LEFT JOIN wide ON s.stratum IS NOT DISTINCT FROM wide.stratum
+"""
