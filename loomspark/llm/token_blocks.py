@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import BATCH_ROWS, map_batches, materialize
 
-BLOCK, PERCENTILE, SEGMENT_IDS, CACHE = 1024, 95, 1 << 19, 1_000_000
+BLOCK, PERCENTILE, SEGMENT_IDS, CACHE = 1024, 95, 1 << 19, 600_000
 _HEAD, _BLOCK_HEAD = struct.Struct("<4sIIQ"), struct.Struct("<IBBH")
 #: Runs of white space that may not be cut at their inner spaces; see ``Encoder``.
 _UNSAFE = re.compile(r"\s \s|\s \Z")
@@ -56,7 +56,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.before = Tokenizer.from_file(path), {}, {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -71,9 +71,11 @@ class Encoder:
         try:
             return b"".join([self.known[x] for x in chunks])
         except KeyError:
-            if len(self.known) > CACHE:
-                self.known.clear()
-            new = list(set(chunks) - self.known.keys())
+            if len(self.known) > CACHE:  # the older half goes, but for what is met again
+                self.known, self.before = {}, self.known
+            lacking = set(chunks).difference(self.known)
+            self.known.update((x, self.before[x]) for x in lacking if x in self.before)
+            new = list(lacking.difference(self.before))
             self.known.update(zip(new, self.whole(new), strict=True))
             return b"".join([self.known[x] for x in chunks])
 
