@@ -6,6 +6,8 @@ a worker follows the longest rows of one batch and never the size of a partition
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,6 +17,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 BATCH_ROWS = 1000
 _OWN: dict[str, str] = {}
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, whatever their Python path is."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        base = os.path.join(tempfile.mkdtemp(prefix="loomspark-"), "loomspark")
+        context.addPyFile(shutil.make_archive(base, "zip", root, "loomspark"))
+        _SHIPPED.add(context.applicationId)
+
+
+def arrow_session(df: DataFrame) -> SparkSession:
+    """The session, ready for ``mapInArrow`` in batches of ``BATCH_ROWS``."""
+    ship_package(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return df.sparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +72,7 @@ def map_batches(
     df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str
 ) -> DataFrame:
     """``mapInArrow`` of a function of one batch, over batches of bounded size."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    arrow_session(df)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

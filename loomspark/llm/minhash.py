@@ -16,7 +16,9 @@ All pairs of a bucket are never emitted.  A bucket is represented by hubs; its m
 are compared with hubs (``BANDS`` random orders, so a large group of near copies meets
 several), then components are formed, and only pairs of one bucket that still are in
 different components are compared with each other - the exact way for what the hubs
-leave open.  A link inside a component changes no result, so none that matters is lost.
+leave open.  Before that, nodes are set aside that have too few shingles in common with
+all other components together, so heavily edited copies do not meet their whole group.
+A link inside a component changes no result, so none that matters is lost.
 
 Components: minimum label with pointer jumping over tables in the shared folder.
 
@@ -230,16 +232,22 @@ def find_groups(docs: DataFrame) -> DataFrame:
     first = best.groupBy("node").agg(F.max_by(F.struct("a", "b"), "shared").alias("_p")).select("_p.*").distinct()
     edges = materialize(_verified(_pruned(first, nodes), sets), "edges")
     comp = components(edges)
-    # Then the other hubs, and then whatever in a bucket is not connected yet.
-    rest = _apart(pairs.select("a", "b"), comp)
+    # Then its other hubs, and in buckets still apart the node that meets most others.
+    apart = _open(met, comp)
+    weight = apart.groupBy("node").agg(F.sum("_n").alias("_w"))
+    centre = apart.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("_w", "node")).alias("hub"))
+    more = apart.join(materialize(centre, "centres"), "key").where("node != hub")
+    more = more.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    rest = materialize(_apart(pairs.select("a", "b").union(more).distinct(), comp), "pairs")
     edges = edges.union(materialize(_verified(_pruned(rest, nodes), sets), "edges"))
     comp = components(edges)
-    named = met.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = named.groupBy("key").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y"), F.count("*").alias("_n")).where("_x < _y and _n > 2")
-    named = materialize(named.join(materialize(mixed.select("key"), "mixed"), "key"), "open")
-    other = named.toDF("key", "b", "comp_b")
-    cross = named.join(other, "key").where("comp < comp_b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
-    cross = cross.distinct().join(pairs, ["a", "b"], "left_anti")
+    # Then whatever can be linked at all with a node of its buckets in another component.
+    apart = _open(met, comp)
+    for _ in range(2):
+        apart = _open(_linkable(apart, nodes, sets), comp)
+    other = apart.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
+    cross = apart.join(other, "key").where("comp < comp_b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+    cross = cross.distinct().join(pairs, ["a", "b"], "left_anti").join(rest, ["a", "b"], "left_anti")
     edges = edges.union(materialize(_verified(_pruned(cross, nodes), sets), "edges"))
     comp = components(edges)
     known = nodes.join(comp, "node", "left").select("set_hash", F.coalesce("comp", "node").alias("_comp"))
@@ -249,6 +257,40 @@ def find_groups(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _open(met: DataFrame, comp: DataFrame) -> DataFrame:
+    """key, node, comp, _n: the buckets whose nodes are not all in one component."""
+    named = met.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    mixed = named.groupBy("key").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y"), F.count("*").alias("_n"))
+    return materialize(named.join(materialize(mixed.where("_x < _y").select("key", "_n"), "mixed"), "key"), "open")
+
+
+def _linkable(apart: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of ``apart`` whose node may be linked with one of another component.
+
+    A link of sets of n and m shingles needs NEED * (n + m) / (NEED + OF) common ones.
+    So many shingles of a node must occur in other components, with m the smallest size
+    in its buckets that is not under NEED * n / OF.  The rule loses no link.
+    """
+    sized = apart.join(nodes.select("node", "n_shingles"), "node")
+    least = materialize(sized.groupBy("key").agg(F.min("n_shingles").alias("_m")), "sizes")
+    sized = sized.join(least, "key").groupBy("node", "comp", "n_shingles").agg(F.min("_m").alias("_m"))
+    smallest = F.greatest(F.col("_m").cast("double"), F.col("n_shingles") * (NEED / OF))
+    sized = materialize(sized.select("node", "comp", ((F.col("n_shingles") + smallest) * (NEED / (NEED + OF)) - 1e-6).alias("_need")), "sized")
+
+    def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
+        each = [np.frombuffer(x.as_py(), "<i8") for x in batch.column(1)]
+        rows = np.repeat(np.arange(len(each)), [len(x) for x in each])
+        node = batch.column(0).take(pa.array(rows))
+        return pa.RecordBatch.from_arrays([node, pa.array(np.concatenate(each) if each else [], pa.int64())], ["node", "shingle"])
+
+    spread_out = map_batches(sets.join(sized.select("node"), "node", "left_semi").select("node", "set"), spread, "node long, shingle long")
+    held = materialize(spread_out.join(sized.select("node", "comp"), "node"), "held")
+    common = held.groupBy("shingle").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y")).where("_x < _y").select("shingle")
+    found = held.join(materialize(common, "common"), "shingle").groupBy("node").agg(F.count("*").alias("_found"))
+    able = sized.join(found, "node").where("_found >= _need").select("node")
+    return apart.join(materialize(able, "able"), "node", "left_semi")
+
+
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     """Pairs whose ends are in different components."""
     for x in "ab":

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, map_batches, materialize
+from .common import arrow_session, map_batches, materialize
 
 BLOCK, PERCENTILE, SEGMENT_IDS, CACHE = 1024, 95, 1 << 19, 600_000
 _HEAD, _BLOCK_HEAD = struct.Struct("<4sIIQ"), struct.Struct("<IBBH")
@@ -169,7 +169,7 @@ def decode_segment(image: bytes, blocks: range | None = None) -> np.ndarray:
 
 def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int = 0, segment_ids: int = SEGMENT_IDS) -> DataFrame:
     """Encode ``text`` in ascending doc_id order and write the segments; the written table."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    arrow_session(docs)
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     end, kind = struct.pack("<I", end_id), docs.schema["doc_id"].dataType.simpleString()
     names = ["shard", "seg", "first", "n_ids", "doc_ids", "lengths", "payload"]
@@ -230,7 +230,7 @@ def read_segments(segments: DataFrame) -> DataFrame:
         cat = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (starts, counts)]
         return pa.RecordBatch.from_arrays([ids, *cat, pa.array(found, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    arrow_session(rows)
 
     def one_by_one(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
