@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, minhash, quality, token_blocks
+from . import chat, decontaminate, minhash, quality, suffix_dedup, token_blocks
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -18,6 +18,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_copies(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = token_blocks.write_segments(table(spark, sf_dir, "documents"), tokenizer_path())
     return token_blocks.digest(token_blocks.read_segments(segments))
@@ -49,6 +54,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op4_token_blocks": op4_token_blocks,
     "op5_decontaminate": op5_decontaminate,
     "op8_minhash_dedup": op8_minhash_dedup,
