@@ -14,10 +14,11 @@ link returned is exact: 100 * intersection >= 75 * union.
 
 All pairs of a bucket are never emitted.  A bucket is represented by hubs; its members
 are compared with hubs (``BANDS`` random orders, so a large group of near copies meets
-several), then components are formed, and only pairs of one bucket that still are in
-different components are compared with each other - the exact way for what the hubs
-leave open.  Before that, nodes are set aside that have too few shingles in common with
-all other components together, so heavily edited copies do not meet their whole group.
+several), then components are formed, and only nodes of one bucket that still are in
+different components are compared with each other, block by block inside tasks - the
+exact way for what the hubs leave open.  Before that, nodes are set aside that have too few shingles
+in common with all other components together, so most heavily edited copies do not
+meet their whole group.
 A link inside a component changes no result, so none that matters is lost.
 
 Components: minimum label with pointer jumping over tables in the shared folder.
@@ -31,6 +32,7 @@ are not read; an empty table gives an empty result.
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +40,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_batches, materialize
+from .common import arrow_session, discard, map_batches, materialize
 
-WIDTH, ROWS, BANDS, NEED, OF, MISS, BATCH = 5, 5, 40, 75, 100, 1e-6, 25
+WIDTH, ROWS, BANDS, NEED, OF, MISS, BATCH, BLOCK = 5, 5, 40, 75, 100, 1e-6, 25, 256
 HASHES = ROWS * BANDS
 _RANDOM = np.random.default_rng(20240229)
 _MUL = _RANDOM.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -244,11 +246,9 @@ def find_groups(docs: DataFrame) -> DataFrame:
     # Then whatever can be linked at all with a node of its buckets in another component.
     apart = _open(met, comp)
     for _ in range(2):
-        apart = _open(_linkable(apart, nodes, sets), comp)
-    other = apart.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-    cross = apart.join(other, "key").where("comp < comp_b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
-    cross = cross.distinct().join(pairs, ["a", "b"], "left_anti").join(rest, ["a", "b"], "left_anti")
-    edges = edges.union(materialize(_verified(_pruned(cross, nodes), sets), "edges"))
+        able = _linkable(apart, nodes, sets)
+        apart = _open(apart.join(able.select("node"), "node", "left_semi"), comp)
+    edges = edges.union(materialize(_across(apart.join(able, "node").select("key", "node", "comp"), sets), "edges"))
     comp = components(edges)
     known = nodes.join(comp, "node", "left").select("set_hash", F.coalesce("comp", "node").alias("_comp"))
     out = signed.select("doc_id", "n_shingles", "set_hash").join(materialize(known, "components"), "set_hash", "left")
@@ -265,7 +265,8 @@ def _open(met: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def _linkable(apart: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """The rows of ``apart`` whose node may be linked with one of another component.
+    """Those nodes of ``apart`` that may be linked with one of another component, their
+    sizes and how many of their shingles occur in other components.
 
     A link of sets of n and m shingles needs NEED * (n + m) / (NEED + OF) common ones.
     So many shingles of a node must occur in other components, with m the smallest size
@@ -275,7 +276,7 @@ def _linkable(apart: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     least = materialize(sized.groupBy("key").agg(F.min("n_shingles").alias("_m")), "sizes")
     sized = sized.join(least, "key").groupBy("node", "comp", "n_shingles").agg(F.min("_m").alias("_m"))
     smallest = F.greatest(F.col("_m").cast("double"), F.col("n_shingles") * (NEED / OF))
-    sized = materialize(sized.select("node", "comp", ((F.col("n_shingles") + smallest) * (NEED / (NEED + OF)) - 1e-6).alias("_need")), "sized")
+    sized = materialize(sized.select("node", "comp", "n_shingles", ((F.col("n_shingles") + smallest) * (NEED / (NEED + OF)) - 1e-6).alias("_need")), "sized")
 
     def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
         each = [np.frombuffer(x.as_py(), "<i8") for x in batch.column(1)]
@@ -287,8 +288,55 @@ def _linkable(apart: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     held = materialize(spread_out.join(sized.select("node", "comp"), "node"), "held")
     common = held.groupBy("shingle").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y")).where("_x < _y").select("shingle")
     found = held.join(materialize(common, "common"), "shingle").groupBy("node").agg(F.count("*").alias("_found"))
-    able = sized.join(found, "node").where("_found >= _need").select("node")
-    return apart.join(materialize(able, "able"), "node", "left_semi")
+    return materialize(sized.join(found, "node").where("_found >= _need").select("node", "n_shingles", "_found"), "able")
+
+
+def _across(apart: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links between different components in each bucket, on full sets.
+
+    The nodes outside a bucket's largest component meet all of the bucket in blocks of
+    BLOCK by BLOCK nodes.  A task holds two blocks; only links leave it.
+    """
+    arrow_session(apart)
+    sizes = apart.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("_top"), F.sum("n").alias("_all"), F.max("n").alias("_most"))
+    sizes = materialize(sizes.where("_all > _most").select("key", "_top", F.ceil(F.col("_all") / BLOCK).cast("int").alias("_in"), F.ceil((F.col("_all") - F.col("_most")) / BLOCK).cast("int").alias("_out")), "blocks")
+    rows = apart.join(sizes, "key")
+    place = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    inner = rows.select("key", place("_in").alias("i"), every("_out").alias("o"), F.lit(0).alias("side"), "node", "comp")
+    outer = rows.where("comp != _top").select("key", every("_in").alias("i"), place("_out").alias("o"), F.lit(1).alias("side"), "node", "comp")
+    rows = inner.union(outer).join(sets, "node").repartition("key", "i", "o").sortWithinPartitions("key", "i", "o", "side")
+
+    def meet(held: list[list]) -> pa.RecordBatch:
+        one, two = ([r for r in held if r[3] == side] for side in (0, 1))
+        _, ids = np.unique(np.concatenate([np.frombuffer(r[6], "<u8") for r in one + two]), return_inverse=True)
+        n = np.array([len(r[6]) // 8 for r in one + two])
+        upto = np.cumsum(n)
+        flat, mark = ids[: upto[len(one) - 1]], np.zeros(len(ids), bool)
+        comp, found = np.array([r[5] for r in one]), []
+        for k, r in enumerate(two, len(one)):
+            mine = ids[upto[k] - n[k] : upto[k]]
+            mark[mine] = True
+            both = np.add.reduceat(mark[flat].astype(np.int64), upto[: len(one)] - n[: len(one)])
+            mark[mine] = False
+            hit = (OF * both >= NEED * (n[: len(one)] + n[k] - both)) & (comp != r[5])
+            found += [(one[i][4], r[4]) for i in np.flatnonzero(hit)]
+        return pa.RecordBatch.from_arrays([pa.array([f[s] for f in found], pa.int64()) for s in (0, 1)], ["a", "b"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[-1][:3] != row[:3]:
+                    if held[-1][3]:  # an outer node, and so always an inner one
+                        yield meet(held)
+                    held = []
+                held.append(row)
+        if held and held[-1][3]:
+            yield meet(held)
+
+    return rows.select("key", "i", "o", "side", "node", "comp", "set").mapInArrow(each, "a long, b long")
 
 
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
