@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, decontaminate, minhash, quality, suffix_dedup, token_blocks
+from . import chat, decontaminate, language, minhash, quality, suffix_dedup, token_blocks
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -23,6 +24,12 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language.identify(docs.select("doc_id", "text"), language.fit(docs))
+    return out.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op4_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = token_blocks.write_segments(table(spark, sf_dir, "documents"), tokenizer_path())
     return token_blocks.digest(token_blocks.read_segments(segments))
@@ -55,6 +62,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_language_id": op2_language_id,
     "op4_token_blocks": op4_token_blocks,
     "op5_decontaminate": op5_decontaminate,
     "op8_minhash_dedup": op8_minhash_dedup,
