@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, minhash, quality, suffix_dedup, token_blocks
+from . import chat, decontaminate, language, minhash, mixing, quality, suffix_dedup, token_blocks
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -30,6 +30,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    out = mixing.realise(docs, mixing.weights(docs))
+    return out.select("doc_id", "source", F.col("block").cast("long").alias("block"), mixing.tokens(F.col("text")).alias("n_words"))
+
+
 def op4_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = token_blocks.write_segments(table(spark, sf_dir, "documents"), tokenizer_path())
     return token_blocks.digest(token_blocks.read_segments(segments))
@@ -63,6 +69,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_language_id": op2_language_id,
+    "op3_mix_sources": op3_mix_sources,
     "op4_token_blocks": op4_token_blocks,
     "op5_decontaminate": op5_decontaminate,
     "op8_minhash_dedup": op8_minhash_dedup,

@@ -96,3 +96,33 @@ reach AS (SELECT doc_id AS v, doc_id AS to_id FROM d UNION SELECT reach.v, e.b F
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c AS component_id, d.doc_id = c AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(to_id) AS c FROM reach GROUP BY v) r ON r.v = d.doc_id
 """
+
+ORACLE_SQL["op3_mix_sources"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_words FROM documents),
+s AS (SELECT source, sum(n_words)::DOUBLE AS t FROM d GROUP BY source),
+g AS (SELECT list(t) AS ts, sum(t) AS total, min(t) AS least, ln(count(*)::DOUBLE) * 0.98 AS goal FROM s WHERE t > 0),
+b AS (
+  SELECT 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0.0::DOUBLE AS lo2, 1.0::DOUBLE AS hi2
+  UNION ALL
+  SELECT i + 1, if(e >= goal, (lo + hi) / 2, lo), if(e >= goal, hi, (lo + hi) / 2),
+    if(r > 4, (lo2 + hi2) / 2, lo2), if(r > 4, hi2, (lo2 + hi2) / 2)
+  FROM (
+    SELECT *, ln(list_sum(list_transform(ts, lambda t: t ** ((lo + hi) / 2))))
+        - list_sum(list_transform(ts, lambda t: t ** ((lo + hi) / 2) * ((lo + hi) / 2) * ln(t))) / list_sum(list_transform(ts, lambda t: t ** ((lo + hi) / 2))) AS e,
+      total * least ** ((lo2 + hi2) / 2 - 1) / list_sum(list_transform(ts, lambda t: t ** ((lo2 + hi2) / 2))) AS r
+    FROM b, g WHERE i < 50)),
+x AS (
+  SELECT *, list_sum(list_transform(ts, lambda t: t ** x)) AS z FROM (
+    SELECT ts, total, greatest(
+      if(ln(list_sum(ts)) - list_sum(list_transform(ts, lambda t: t * ln(t))) / list_sum(ts) >= goal, 1.0, lo),
+      if(total / least / len(ts) <= 4, 0.0, hi2)) AS x
+    FROM b, g WHERE i = 50)),
+p AS (SELECT source, t, floor(t ** x / z * total + 1e-6) AS budget FROM s, x WHERE t > 0),
+q AS (SELECT source, floor(budget / t)::BIGINT AS blocks, budget - floor(budget / t) * t AS rest FROM p
+      UNION ALL SELECT source, 1, 0 FROM s WHERE t = 0),
+r AS (
+  SELECT d.*, blocks, rest, sum(n_words) OVER (PARTITION BY d.source ORDER BY md5('mix/' || blocks || '/' || d.doc_id)) AS run
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, source, n_words::BIGINT AS n_words, unnest(range(0, blocks + if(run <= rest AND rest > 0, 1, 0))) AS block FROM r
+"""
