@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_extract, language, minhash, mixing, quality, suffix_dedup, token_blocks
+from . import chat, decontaminate, html_extract, language, license_scan, minhash, mixing, quality, suffix_dedup, token_blocks
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -46,6 +46,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    best = F.round(F.coalesce(F.array_max(F.col("hits.probability")), F.lit(0.0)), 6)
+    return out.select("doc_id", "n_paragraphs", "n_licensed", "families", best.alias("best_probability"))
+
+
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": op3_mix_sources,
     "op4_token_blocks": op4_token_blocks,
     "op5_decontaminate": op5_decontaminate,
+    "op6_license_scan": op6_license_scan,
     "op7_html_extract": op7_html_extract,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_chat_format": op9_chat_format,
