@@ -31,53 +31,105 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_session, map_batches, materialize
 
-BLOCK, PERCENTILE, SEGMENT_IDS, CACHE = 1024, 95, 1 << 19, 600_000
+BLOCK, PERCENTILE, SEGMENT_IDS, CACHE, TOGETHER = 1024, 95, 1 << 19, 250_000, 1 << 18
 _HEAD, _BLOCK_HEAD = struct.Struct("<4sIIQ"), struct.Struct("<IBBH")
 #: Runs of white space that may not be cut at their inner spaces; see ``Encoder``.
 _UNSAFE = re.compile(r"\s \s|\s \Z")
+#: The pieces of a byte-level splitter (a fixed pattern), and what it does not count as white space.
+_PIECES = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+")
+_CONTROL = re.compile("[\x1c-\x1f]")
 _ENCODERS: dict[str, Encoder] = {}
 
 
+class _Recent:
+    """A bounded memory: when ``now`` is full, all goes but what is met again before it is full once more."""
+
+    def __init__(self, bound: int):
+        self.bound, self.now, self.before = bound, {}, {}
+
+    def lacking(self, keys: set[str]) -> list[str]:
+        """Those of ``keys`` that are not held; known ones are kept for another round."""
+        if len(self.now) > self.bound:
+            self.now, self.before = {}, self.now
+        new = keys.difference(self.now)
+        if self.before:
+            self.now.update([(k, self.before[k]) for k in new if k in self.before])
+            new = new.difference(self.now)
+        return list(new)
+
+
 class Encoder:
-    """Ids of whole texts, by the tokenizers library, each distinct chunk encoded once.
+    """Ids of whole texts, by the tokenizers library, each distinct piece encoded once.
 
     The byte-level splitter starts a new piece before every space that follows a
     non-space or precedes one, so a text may be cut before its spaces; only inside a
-    longer run of white space may it not, and such texts are encoded whole.
+    longer run of white space may it not, and such texts are encoded whole.  A chunk
+    that is not known is cut into the splitter's own pieces, and the library's model
+    encodes those that are not known; rare scripts, where the library and this Python
+    may disagree on what a letter is, go to the library as they are.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.before = Tokenizer.from_file(path), {}, {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.special = self.tokenizer.model, sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.chunks, self.pieces = _Recent(CACHE), _Recent(CACHE)
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = [b for b in range(256) if b not in plain]
+        self.signs = {**{b: b for b in plain}, **{b: 256 + k for k, b in enumerate(other)}}
+        self.space = chr(self.signs[32])
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian u32 ids."""
-        if _UNSAFE.search(text):
-            return self.whole([text])[0]
-        head, *rest = text.split(" ")
-        chunks = [head, *[" " + x for x in rest]]
-        try:
-            return b"".join([self.known[x] for x in chunks])
-        except KeyError:
-            if len(self.known) > CACHE:  # the older half goes, but for what is met again
-                self.known, self.before = {}, self.known
-            lacking = set(chunks).difference(self.known)
-            self.known.update((x, self.before[x]) for x in lacking if x in self.before)
-            new = list(lacking.difference(self.before))
-            self.known.update(zip(new, self.whole(new), strict=True))
-            return b"".join([self.known[x] for x in chunks])
+    def _piece(self, piece: str) -> bytes:
+        if piece[0] == " " and piece.isascii() and piece[1:].isalpha():
+            signs = self.space + piece[1:]
+        else:
+            signs = piece.encode().decode("latin-1").translate(self.signs)
+        ids = [t.id for t in self.model.tokenize(signs)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, new: list[str]) -> None:
+        cut = {c: [c] if c[1:].isalpha() and c[0] == " " else _PIECES.findall(c) for c in new if max(c) < "\u1680" and not _CONTROL.search(c)}
+        rest = [c for c in new if c not in cut]
+        new = self.pieces.lacking({p for ps in cut.values() for p in ps})
+        known, chunks = self.pieces.now, self.chunks.now
+        known.update([(p, self._piece(p)) for p in new])
+        chunks.update([(c, b"".join([known[p] for p in ps])) for c, ps in cut.items()])
+        chunks.update(zip(rest, self.whole(rest), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian u32 ids of each text."""
+        out: list[bytes] = []
+        cut: list[list[str] | None] = []
+        size = 0
+        for text in texts:
+            if not text or _UNSAFE.search(text) or any(s in text for s in self.special):
+                cut.append(None)
+            else:
+                head, *rest = text.split(" ")
+                cut.append([head, *[" " + x for x in rest]] if head else [" " + x for x in rest])
+            size += len(text)
+            if size > TOGETHER:
+                out += self._join(texts[len(out) : len(out) + len(cut)], cut)
+                cut, size = [], 0
+        return out + self._join(texts[len(out) :], cut)
+
+    def _join(self, texts: list[str], cut: list[list[str] | None]) -> list[bytes]:
+        self._learn(self.chunks.lacking({x for c in cut if c for x in c}))
+        known = self.chunks.now
+        return [self.whole([t])[0] if c is None else b"".join([known[x] for x in c]) for t, c in zip(texts, cut, strict=True)]
 
 
 def encoder(path: str) -> Encoder:
@@ -186,9 +238,10 @@ def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int = 0, segmen
 
         for batch in batches:
             id_type = batch.column(0).type
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode(texts), strict=True):
                 doc_ids.append(doc_id)
-                held.append(enc.encode(text.as_py() or "") + end)
+                held.append(ids + end)
                 size += len(held[-1]) // 4
                 if size >= segment_ids:
                     yield flush(id_type)

@@ -31,11 +31,12 @@ def test_outliers_go_to_the_exception_list():
 @pytest.mark.parametrize(
     "text",
     ["", " ", "  ", "a  b", "a   b", "a \n b", "a\n b \n", " lead", "trail ", "x  y   z", "it's 12 o'clock!!\n\n\n  ok",
-     "tab\t \tq", "a \n\n  \t b   ", "<|endoftext|> x <|endoftext|>", "é ñ  ß😀 😀  "],
+     "tab\t \tq", "a \n\n  \t b   ", "<|endoftext|> x <|endoftext|>", "é ñ  ß😀 😀  ", "ⅻ ²x x² 12½ ـا הא\x1c\x1d \x1f a", "we're I'll 'tis don't's", " a", "x\u3000y\u2028 z \u1680", "日本 語 ひ\u200b"],
 )
 def test_cut_texts_have_the_ids_of_whole_texts(text):
     e = T.encoder(tokenizer_path())
-    assert e.encode(text) == e.whole([text])[0]
+    assert e.encode([text]) == e.whole([text])
+    assert e.encode([text, "other words", text]) == e.whole([text, "other words", text])
 
 
 def brute(rows):
