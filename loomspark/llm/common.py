@@ -6,8 +6,6 @@ a worker follows the longest rows of one batch and never the size of a partition
 
 from __future__ import annotations
 
-import os
-import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,19 +13,18 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship_package
+
 BATCH_ROWS = 1000
 _OWN: dict[str, str] = {}
-_SHIPPED: set[str] = set()
+_HELD: dict[str, Callable[[], None]] = {}
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, whatever their Python path is."""
-    context = spark.sparkContext
-    if context.applicationId not in _SHIPPED:
-        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-        base = os.path.join(tempfile.mkdtemp(prefix="loomspark-"), "loomspark")
-        context.addPyFile(shutil.make_archive(base, "zip", root, "loomspark"))
-        _SHIPPED.add(context.applicationId)
+def release_others(name: str, release: Callable[[], None]) -> None:
+    """Workers are used again: what one operator holds goes when another begins."""
+    for other in [k for k in _HELD if k != name]:
+        _HELD.pop(other)()
+    _HELD[name] = release
 
 
 def arrow_session(df: DataFrame) -> SparkSession:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize
+from .common import map_batches, materialize, release_others
 
 _TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256)
@@ -110,6 +110,7 @@ def _pass(docs: DataFrame, sent) -> DataFrame:
     hits = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("items", pa.list_(pa.string()))]))
 
     def hit(batch: pa.RecordBatch) -> pa.RecordBatch:
+        release_others("decontaminate", _BUILT.clear)
         if key not in _BUILT:
             _BUILT.clear()
             _BUILT[key] = build(sent.value)

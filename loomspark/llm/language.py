@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, release_others
 
-CHAIN, DIMS, GRAMS, PER_LABEL, STEPS, RATE, BLOCK_WORDS, CACHE = 64, 1 << 17, 4, 200, 25, 0.15, 1 << 18, 600_000
+CHAIN, DIMS, GRAMS, PER_LABEL, STEPS, RATE, BLOCK_WORDS, CACHE = 64, 1 << 17, 4, 200, 25, 0.15, 1 << 16, 250_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _EMISSIONS: dict[int, tuple[dict[str, int], np.ndarray]] = {}
@@ -78,9 +78,9 @@ class Model:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         if not words:
-            return np.zeros((0, len(self.labels)))
+            return np.zeros((0, len(self.labels)), np.float32)
         ids, at = features(words)
-        return np.add.reduceat(self.weights[ids], at, axis=0).astype(np.float64)
+        return np.add.reduceat(self.weights[ids], at, axis=0)
 
 
 def marginals(emit: np.ndarray, trans: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -202,9 +202,10 @@ def fit(docs: DataFrame, label: str = "lang", per_label: int = PER_LABEL) -> Mod
 
 def _posteriors(model: Model, texts: list[list[str]]) -> list[np.ndarray]:
     """For each text the posteriors (words, labels)."""
+    release_others("language", _EMISSIONS.clear)
     if model.key not in _EMISSIONS:
         _EMISSIONS.clear()
-        _EMISSIONS[model.key] = ({}, np.zeros((0, len(model.labels))))
+        _EMISSIONS[model.key] = ({}, np.zeros((0, len(model.labels)), np.float32))
     known, table = _EMISSIONS[model.key]
     if len(known) > CACHE:
         known, table = {}, table[:0]
@@ -214,7 +215,7 @@ def _posteriors(model: Model, texts: list[list[str]]) -> list[np.ndarray]:
         table = np.concatenate([table, model.emissions(new)])
     _EMISSIONS[model.key] = known, table
     cut = [_chains(np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))) for ws in texts]
-    post, _, _ = marginals(table[np.concatenate([c[0] for c in cut])], model.trans, np.concatenate([c[1] for c in cut]))
+    post, _, _ = marginals(table[np.concatenate([c[0] for c in cut])].astype(np.float64), model.trans, np.concatenate([c[1] for c in cut]))
     out, at = [], 0
     for ws, (grid, _) in zip(texts, cut, strict=True):
         out.append(post[at : at + len(grid)].reshape(-1, post.shape[2])[: len(ws)])

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_session, discard, map_batches, materialize
+from .common import arrow_session, discard, map_batches, materialize, release_others
 
 WIDTH, ROWS, BANDS, NEED, OF, MISS, BATCH, BLOCK = 5, 5, 40, 75, 100, 1e-6, 25, 256
 HASHES = ROWS * BANDS
@@ -59,6 +59,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct 64-bit shingle hashes of a whole text."""
+    release_others("minhash", _WORDS.clear)
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)

@@ -23,6 +23,7 @@ other in order of their text; an empty table gives no rows; no text is cut.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import struct
@@ -36,15 +37,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_session, map_batches, materialize
+from .common import arrow_session, map_batches, materialize, release_others
 
-BLOCK, PERCENTILE, SEGMENT_IDS, CACHE, TOGETHER = 1024, 95, 1 << 19, 250_000, 1 << 18
+BLOCK, PERCENTILE, SEGMENT_IDS, CACHE, TOGETHER = 1024, 95, 1 << 19, 400_000, 1 << 20
 _HEAD, _BLOCK_HEAD = struct.Struct("<4sIIQ"), struct.Struct("<IBBH")
-#: Runs of white space that may not be cut at their inner spaces; see ``Encoder``.
-_UNSAFE = re.compile(r"\s \s|\s \Z")
-#: The pieces of a byte-level splitter (a fixed pattern), and what it does not count as white space.
+#: The pieces of a byte-level splitter (a fixed pattern), and the same where letters and
+#: digits are those of Latin scripts.
 _PIECES = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+")
-_CONTROL = re.compile("[\x1c-\x1f]")
+_COMMON_PIECES = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]++| ?\d++| ?(?:[^\s\w]|_)++|\s+(?!\S)|\s+")
+#: What is not plain Latin: among it numbers that are no digits, and separators that are
+#: white space to Python alone.
+_UNCOMMON = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u2027\u20ac]")
+_DISPUTED = re.compile("[\x1c-\x1f\u1680-\u1fff\u2c00-\U0010ffff]")
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -66,14 +70,12 @@ class _Recent:
 
 
 class Encoder:
-    """Ids of whole texts, by the tokenizers library, each distinct piece encoded once.
-
-    The byte-level splitter starts a new piece before every space that follows a
-    non-space or precedes one, so a text may be cut before its spaces; only inside a
-    longer run of white space may it not, and such texts are encoded whole.  A chunk
-    that is not known is cut into the splitter's own pieces, and the library's model
-    encodes those that are not known; rare scripts, where the library and this Python
-    may disagree on what a letter is, go to the library as they are.
+    """Ids of whole texts, by the tokenizers library's model, each distinct piece encoded once.
+
+    A text is cut into the pieces of the byte-level splitter.  For common scripts a
+    simpler pattern of equal meaning does that; texts with characters of which the
+    library and Python's patterns may think differently, or with a special token's
+    text, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -81,8 +83,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.special = self.tokenizer.model, sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.chunks, self.pieces = _Recent(CACHE), _Recent(CACHE)
+        self.model, self.special = self.tokenizer.model, [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pieces = _Recent(CACHE)
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in plain]
         self.signs = {**{b: b for b in plain}, **{b: 256 + k for k, b in enumerate(other)}}
@@ -100,14 +102,12 @@ class Encoder:
         ids = [t.id for t in self.model.tokenize(signs)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _learn(self, new: list[str]) -> None:
-        cut = {c: [c] if c[1:].isalpha() and c[0] == " " else _PIECES.findall(c) for c in new if max(c) < "\u1680" and not _CONTROL.search(c)}
-        rest = [c for c in new if c not in cut]
-        new = self.pieces.lacking({p for ps in cut.values() for p in ps})
-        known, chunks = self.pieces.now, self.chunks.now
-        known.update([(p, self._piece(p)) for p in new])
-        chunks.update([(c, b"".join([known[p] for p in ps])) for c, ps in cut.items()])
-        chunks.update(zip(rest, self.whole(rest), strict=True))
+    def _cut(self, text: str) -> list[str] | None:
+        if any(s in text for s in self.special):
+            return None
+        if not _UNCOMMON.search(text):
+            return _COMMON_PIECES.findall(text)
+        return None if _DISPUTED.search(text) else _PIECES.findall(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian u32 ids of each text."""
@@ -115,11 +115,7 @@ class Encoder:
         cut: list[list[str] | None] = []
         size = 0
         for text in texts:
-            if not text or _UNSAFE.search(text) or any(s in text for s in self.special):
-                cut.append(None)
-            else:
-                head, *rest = text.split(" ")
-                cut.append([head, *[" " + x for x in rest]] if head else [" " + x for x in rest])
+            cut.append(self._cut(text))
             size += len(text)
             if size > TOGETHER:
                 out += self._join(texts[len(out) : len(out) + len(cut)], cut)
@@ -127,12 +123,14 @@ class Encoder:
         return out + self._join(texts[len(out) :], cut)
 
     def _join(self, texts: list[str], cut: list[list[str] | None]) -> list[bytes]:
-        self._learn(self.chunks.lacking({x for c in cut if c for x in c}))
-        known = self.chunks.now
-        return [self.whole([t])[0] if c is None else b"".join([known[x] for x in c]) for t, c in zip(texts, cut, strict=True)]
+        new = self.pieces.lacking(set(itertools.chain.from_iterable(filter(None, cut))))
+        self.pieces.now.update(zip(new, map(self._piece, new), strict=True))
+        get = self.pieces.now.__getitem__
+        return [self.whole([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
 
 
 def encoder(path: str) -> Encoder:
+    release_others("token_blocks", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
