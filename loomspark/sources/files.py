@@ -90,4 +90,4 @@ def parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    rows.write.mode(mode).option("header", True).csv(path)
+    rows.write.mode(mode).option("header", True).option("escape", "\"").csv(path)
