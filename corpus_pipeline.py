@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids are written in blocks and read back."""
     segments = token_blocks.write_segments(docs, tokenizer_path())
-    return token_blocks.digest(token_blocks.read_segments(segments))
+    return token_blocks.read_segments(segments, digest=True)
 
 
 STAGES = [

@@ -38,7 +38,7 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = token_blocks.write_segments(table(spark, sf_dir, "documents"), tokenizer_path())
-    return token_blocks.digest(token_blocks.read_segments(segments))
+    return token_blocks.read_segments(segments, digest=True)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,12 +23,12 @@ other in order of their text; an empty table gives no rows; no text is cut.
 
 from __future__ import annotations
 
-import itertools
 import os
 import re
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +37,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_session, map_batches, materialize, release_others
+from .common import arrow_session, materialize, release_others
 
-BLOCK, PERCENTILE, SEGMENT_IDS, CACHE, TOGETHER = 1024, 95, 1 << 19, 400_000, 1 << 20
+BLOCK, PERCENTILE, SEGMENT_IDS, CACHE = 1024, 95, 1 << 18, 300_000
 _HEAD, _BLOCK_HEAD = struct.Struct("<4sIIQ"), struct.Struct("<IBBH")
 #: The pieces of a byte-level splitter (a fixed pattern), and the same where letters and
 #: digits are those of Latin scripts.
@@ -52,21 +52,19 @@ _DISPUTED = re.compile("[\x1c-\x1f\u1680-\u1fff\u2c00-\U0010ffff]")
 _ENCODERS: dict[str, Encoder] = {}
 
 
-class _Recent:
-    """A bounded memory: when ``now`` is full, all goes but what is met again before it is full once more."""
+class _Pieces(dict):
+    """Ids of pieces, made when first asked for; when full, all goes but what is met again before it is full once more."""
 
-    def __init__(self, bound: int):
-        self.bound, self.now, self.before = bound, {}, {}
+    def __init__(self, make: Callable[[str], bytes], bound: int):
+        super().__init__()
+        self.make, self.bound, self.before = make, bound, {}
 
-    def lacking(self, keys: set[str]) -> list[str]:
-        """Those of ``keys`` that are not held; known ones are kept for another round."""
-        if len(self.now) > self.bound:
-            self.now, self.before = {}, self.now
-        new = keys.difference(self.now)
-        if self.before:
-            self.now.update([(k, self.before[k]) for k in new if k in self.before])
-            new = new.difference(self.now)
-        return list(new)
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.bound:
+            self.before = dict(self)
+            self.clear()
+        ids = self[piece] = self.before.get(piece) or self.make(piece)
+        return ids
 
 
 class Encoder:
@@ -84,7 +82,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.special = self.tokenizer.model, [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces = _Recent(CACHE)
+        self.pieces = _Pieces(self._piece, CACHE)
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in plain]
         self.signs = {**{b: b for b in plain}, **{b: 256 + k for k, b in enumerate(other)}}
@@ -99,34 +97,17 @@ class Encoder:
             signs = self.space + piece[1:]
         else:
             signs = piece.encode().decode("latin-1").translate(self.signs)
-        ids = [t.id for t in self.model.tokenize(signs)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
 
-    def _cut(self, text: str) -> list[str] | None:
+    def encode(self, text: str) -> bytes:
+        """Little-endian u32 ids."""
         if any(s in text for s in self.special):
-            return None
-        if not _UNCOMMON.search(text):
-            return _COMMON_PIECES.findall(text)
-        return None if _DISPUTED.search(text) else _PIECES.findall(text)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian u32 ids of each text."""
-        out: list[bytes] = []
-        cut: list[list[str] | None] = []
-        size = 0
-        for text in texts:
-            cut.append(self._cut(text))
-            size += len(text)
-            if size > TOGETHER:
-                out += self._join(texts[len(out) : len(out) + len(cut)], cut)
-                cut, size = [], 0
-        return out + self._join(texts[len(out) :], cut)
-
-    def _join(self, texts: list[str], cut: list[list[str] | None]) -> list[bytes]:
-        new = self.pieces.lacking(set(itertools.chain.from_iterable(filter(None, cut))))
-        self.pieces.now.update(zip(new, map(self._piece, new), strict=True))
-        get = self.pieces.now.__getitem__
-        return [self.whole([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
+            return self.whole([text])[0]
+        if text.isascii() and not _DISPUTED.search(text) or not _UNCOMMON.search(text):
+            return b"".join(map(self.pieces.__getitem__, _COMMON_PIECES.findall(text)))
+        if _DISPUTED.search(text):
+            return self.whole([text])[0]
+        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text)))
 
 
 def encoder(path: str) -> Encoder:
@@ -236,10 +217,9 @@ def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int = 0, segmen
 
         for batch in batches:
             id_type = batch.column(0).type
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode(texts), strict=True):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 doc_ids.append(doc_id)
-                held.append(ids + end)
+                held.append(enc.encode(text.as_py() or "") + end)
                 size += len(held[-1]) // 4
                 if size >= segment_ids:
                     yield flush(id_type)
@@ -254,9 +234,11 @@ def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int = 0, segmen
     return materialize(out, "segments")
 
 
-def read_segments(segments: DataFrame) -> DataFrame:
+def read_segments(segments: DataFrame, digest: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids (little-endian u32 bytes) of every written document.
 
+    With ``digest``, ids_crc32, the unsigned crc32 of those bytes, in place of them.
+
     The ids before a shard are summed over shards: one row a shard, of which there are
     as many as write tasks, so that table alone is broadcast.
     """
@@ -267,6 +249,7 @@ def read_segments(segments: DataFrame) -> DataFrame:
         (F.col("_base") + F.col("first")).alias("start"), "doc_ids", "lengths", "payload"
     )
     kind = segments.schema["doc_ids"].dataType.elementType.simpleString()
+    name, of = ("ids_crc32", "long") if digest else ("ids", "binary")
 
     def decode(batch: pa.RecordBatch) -> pa.RecordBatch:
         starts, counts, found = [], [], []
@@ -279,7 +262,8 @@ def read_segments(segments: DataFrame) -> DataFrame:
             counts.append(n)
         ids = batch.column(1).flatten()
         cat = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (starts, counts)]
-        return pa.RecordBatch.from_arrays([ids, *cat, pa.array(found, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+        last = pa.array(map(zlib.crc32, found), pa.int64()) if digest else pa.array(found, pa.binary())
+        return pa.RecordBatch.from_arrays([ids, *cat, last], ["doc_id", "start", "n_tokens", name])
 
     arrow_session(rows)
 
@@ -288,15 +272,5 @@ def read_segments(segments: DataFrame) -> DataFrame:
             for k in range(len(batch)):
                 yield decode(batch.slice(k, 1))
 
-    return rows.mapInArrow(one_by_one, f"doc_id {kind}, start long, n_tokens long, ids binary")
-
-
-def digest(found: DataFrame) -> DataFrame:
-    """The ids of ``read_segments`` as their unsigned crc32."""
-
-    def crc(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sums = pa.array([zlib.crc32(x.as_py()) for x in batch.column(3)], pa.int64())
-        return batch.set_column(3, "ids_crc32", sums)
+    return rows.mapInArrow(one_by_one, f"doc_id {kind}, start long, n_tokens long, {name} {of}")
 
-    kind = found.schema["doc_id"].dataType.simpleString()
-    return map_batches(found, crc, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")

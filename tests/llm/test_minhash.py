@@ -79,3 +79,17 @@ def test_long_text_and_bayes_bounds():
     a = rng.integers(0, 1 << 32, (2000, M.HASHES), dtype=np.uint64).astype(np.uint32)
     b = np.where(rng.random(a.shape) < 0.75, a, a + np.uint32(1))
     assert M.survives(a, b).all() and not M.survives(a, a + np.uint32(1)).any()
+
+
+def test_blocks_find_every_link_across_components(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 4)
+    rng = random.Random(4)
+    base = [rng.randrange(1, 1 << 62) for _ in range(60)]
+    sets = {k: sorted({*rng.sample(base, 55), *(rng.randrange(1, 1 << 62) for _ in range(rng.randrange(12)))}) for k in range(30)}
+    comp = {k: 0 if k < 12 else k for k in sets}
+    apart = spark.createDataFrame([(7, k, comp[k]) for k in sets] + [(8, 0, 0), (8, 1, 0)], "key long, node long, comp long")
+    full = spark.createDataFrame([(k, bytearray(np.array(s, "<u8").tobytes())) for k, s in sets.items()], "node long, set binary")
+    got = {tuple(sorted((r.a, r.b))) for r in M._across(apart, full).collect()}
+    link = lambda a, b: 100 * len({*sets[a]} & {*sets[b]}) >= 75 * len({*sets[a]} | {*sets[b]})
+    want = {(a, b) for a in sets for b in sets if a < b and comp[a] != comp[b] and link(a, b)}
+    assert got == want and want

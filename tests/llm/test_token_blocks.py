@@ -35,8 +35,14 @@ def test_outliers_go_to_the_exception_list():
 )
 def test_cut_texts_have_the_ids_of_whole_texts(text):
     e = T.encoder(tokenizer_path())
-    assert e.encode([text]) == e.whole([text])
-    assert e.encode([text, "other words", text]) == e.whole([text, "other words", text])
+    assert [e.encode(text)] == e.whole([text])
+
+
+def test_forgetting_changes_nothing():
+    e = T.Encoder(tokenizer_path())
+    e.pieces.bound = 3
+    text = "a few words, then a few more words and words again"
+    assert [e.encode(text)] * 3 == e.whole([text] * 3)
 
 
 def brute(rows):
@@ -53,9 +59,12 @@ def test_documents(spark):
     rows += [(5, None, None), (5, "twice", None), (5, "twice", None), (None, "no id", None), (7, "long text " * 30_000, None)]
     seg = T.write_segments(spark.createDataFrame(rows, DOCS).repartition(7), tokenizer_path(), segment_ids=500)
     assert seg.count() > 2
-    got = T.digest(T.read_segments(seg)).collect()
+    got = T.read_segments(seg, digest=True).collect()
     assert sorted(map(tuple, got), key=lambda r: r[1]) == brute(rows)
+    whole = T.read_segments(seg).collect()
+    assert sorted((r.start, r.n_tokens, zlib.crc32(r.ids)) for r in whole) == sorted(tuple(r)[1:] for r in got)
+    assert all(len(r.ids) == 4 * r.n_tokens for r in whole)
 
 
 def test_empty_table(spark):
-    assert T.digest(T.read_segments(T.write_segments(spark.createDataFrame([], DOCS), tokenizer_path()))).count() == 0
+    assert T.read_segments(T.write_segments(spark.createDataFrame([], DOCS), tokenizer_path())).count() == 0
