@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from ..session import ship_package
 BATCH_ROWS = 1000
 _OWN: dict[str, str] = {}
 _HELD: dict[str, Callable[[], None]] = {}
+_SCRATCH: list[list[str]] = []
 
 
 def release_others(name: str, release: Callable[[], None]) -> None:
@@ -46,23 +48,38 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN.setdefault("dir", tempfile.mkdtemp(prefix="loomspark-"))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here.
 
     A lost executor then costs the tasks it ran, never the stages before them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
+    for held in _SCRATCH[-1:]:
+        held.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Remove a table made by ``materialize`` once nothing reads it any more."""
-    spark = df.sparkSession
-    for f in df.inputFiles():
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialize`` writes inside go at the end; what outlives it is written after."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for p in _SCRATCH.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def lasting(df: DataFrame, name: str) -> DataFrame:
+    """``materialize`` a result that outlives the scratch tables around it."""
+    _SCRATCH.append([])
+    try:
+        return materialize(df, name)
+    finally:
+        _SCRATCH.pop()
 
 
 def map_batches(

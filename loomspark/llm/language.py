@@ -34,6 +34,7 @@ from .common import map_batches, release_others
 CHAIN, DIMS, GRAMS, PER_LABEL, STEPS, RATE, BLOCK_WORDS, CACHE = 64, 1 << 17, 4, 200, 25, 0.15, 1 << 16, 250_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
+BLOCK_TYPES, BLOCK_CHAINS = 10_000, 2048
 _EMISSIONS: dict[int, tuple[dict[str, int], np.ndarray]] = {}
 
 
@@ -153,8 +154,19 @@ def train(rows: list[tuple[str, str]], steps: int = STEPS, seed: int = 1) -> Mod
     ids, at = features(list(types))
     of_type = np.repeat(np.arange(len(types)), np.diff(np.append(at, len(ids))))
 
+    parts = [(k, min(k + BLOCK_TYPES, len(types))) for k in range(0, len(types), BLOCK_TYPES)]
+    upto = np.append(at, len(ids))
+
     def by_feature(per_type: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(ids, per_type[of_type, y], DIMS) for y in range(n_labels)], axis=1)
+        out = np.zeros((DIMS, n_labels))
+        for a, b in parts:
+            own, whose = ids[upto[a] : upto[b]], of_type[upto[a] : upto[b]]
+            for y in range(n_labels):
+                out[:, y] += np.bincount(own, per_type[whose, y], DIMS)
+        return out
+
+    def by_type() -> np.ndarray:
+        return np.concatenate([np.add.reduceat(weights[ids[upto[a] : upto[b]]], at[a:b] - at[a], axis=0) for a, b in parts])
 
     one_hot = np.eye(n_labels)
     seen = np.stack([np.bincount(grid[inside], gold[inside] == y, len(types)) for y in range(n_labels)], axis=1)
@@ -167,10 +179,14 @@ def train(rows: list[tuple[str, str]], steps: int = STEPS, seed: int = 1) -> Mod
     trans = np.log(moves_gold + 1.0) - np.log((moves_gold + 1.0).sum(axis=1, keepdims=True))
     total, sum_w, sum_t = inside.sum(), np.full(weights.shape, 1e-8), np.full(trans.shape, 1e-8)
     for _ in range(steps):
-        emit = np.add.reduceat(weights[ids], at, axis=0)[grid]
-        post, moves, _ = marginals(emit, trans, length)
-        diff = (one_hot[gold] - post)[inside]
-        per_type = np.stack([np.bincount(grid[inside], diff[:, y], len(types)) for y in range(n_labels)], axis=1)
+        emit, moves, per_type = by_type(), np.zeros_like(trans), np.zeros((len(types), n_labels))
+        for k in range(0, len(grid), BLOCK_CHAINS):
+            g, within = grid[k : k + BLOCK_CHAINS], inside[k : k + BLOCK_CHAINS]
+            post, moved, _ = marginals(emit[g], trans, length[k : k + BLOCK_CHAINS])
+            diff = (one_hot[gold[k : k + BLOCK_CHAINS]] - post)[within]
+            moves += moved
+            for y in range(n_labels):
+                per_type[:, y] += np.bincount(g[within], diff[:, y], len(types))
         grad = by_feature(per_type) / total - 1e-7 * weights
         grad_t = (moves_gold - moves) / total
         sum_w += grad * grad

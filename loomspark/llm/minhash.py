@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_session, discard, map_batches, materialize, release_others
+from .common import arrow_session, lasting, map_batches, materialize, release_others, scratch
 
 WIDTH, ROWS, BANDS, NEED, OF, MISS, BATCH, BLOCK = 5, 5, 40, 75, 100, 1e-6, 25, 256
 HASHES = ROWS * BANDS
@@ -200,11 +200,8 @@ def components(edges: DataFrame) -> DataFrame:
             hooked.join(jump, "_next").select("node", F.least("_next", "_far").alias("comp"), (F.least("_next", "_far") != F.col("comp")).alias("_moved")),
             "labels",
         )
-        moved = new.where("_moved").limit(1).count()
-        discard(labels)
         labels = new.drop("_moved")
-        if not moved:
-            discard(both)
+        if not new.where("_moved").limit(1).count():
             return labels
 
 
@@ -213,7 +210,12 @@ def _hub(order: Column) -> Column:
 
 
 def find_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
+    """doc_id, n_shingles, component_id and kept of every row, written; scratch tables are gone."""
+    with scratch(docs.sparkSession):
+        return lasting(_groups(docs), "groups")
+
+
+def _groups(docs: DataFrame) -> DataFrame:
     signed = materialize(signatures(docs), "signatures")
     full = signed.where("set_hash is not null and doc_id is not null")
     nodes = materialize(

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_session, map_batches, materialize
+from .common import arrow_session, lasting, map_batches, materialize, scratch
 
 LENGTH, GRAM, GROUP, CUTS, BATCH_BYTES = 400, 128, 256, (16, 1), 1 << 20
 _C = np.random.default_rng(7).integers(0, 1 << 63, GRAM // 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -359,7 +359,8 @@ def _cut_finer(hot: DataFrame, cut: int, length: int, group: int) -> tuple[DataF
 def remove_copies(docs: DataFrame, length: int = LENGTH, keep: str = "none", group: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, kept (bytes), spans (removed byte ranges) and counts of every row."""
     docs = docs.select("doc_id", "text").withColumn("rid", F.xxhash64("doc_id", "text"))
-    found = copies(docs, length, keep, group)
+    with scratch(docs.sparkSession):
+        found = lasting(copies(docs, length, keep, group), "copies")
     both = docs.alias("d").join(found.alias("w"), (F.col("d.rid") == F.col("w.rid")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left")
     kind = docs.schema["doc_id"].dataType.simpleString()
 

@@ -231,7 +231,7 @@ def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int = 0, segmen
         encode,
         f"shard int, seg int, first long, n_ids long, doc_ids array<{kind}>, lengths array<long>, payload binary",
     )
-    return materialize(out, "segments")
+    return materialize(out, "segments", "zstd")
 
 
 def read_segments(segments: DataFrame, digest: bool = False) -> DataFrame:
