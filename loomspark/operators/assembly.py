@@ -108,3 +108,10 @@ def packed(rows: DataFrame, order: str, length: str = "n_tokens", multiple: int
     out = rows.select(bin_key, F.size("_s").alias("n"), ends.alias("ends"))
     total = F.element_at("ends", -1)
     return out.withColumn("padded", total + multiple - F.pmod(total, F.lit(multiple)))
+
+
+def linkage_report(tablets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """kind, method, n: tablets and pairs by matching method, scores stripped from method names."""
+    method = F.coalesce(F.regexp_replace("method", r"_[\d.]+$", ""), F.lit("none"))
+    count = lambda rows, kind: rows.groupBy(F.lit(kind).alias("kind"), method.alias("method")).agg(F.count("*").alias("n"))
+    return count(tablets, "tablet").unionByName(count(pairs, "pair"))

@@ -173,3 +173,18 @@ def name_pool(names: DataFrame) -> DataFrame:
 
 def lexicon_keys(lexicon: DataFrame, key: str = "t") -> DataFrame:
     return lexicon.where((F.char_length(key) > 5) & ~F.col(key).startswith("-"))
+
+
+def of_files(rows: DataFrame, file: str, part: str | None = None, stems: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of files whose name contains ``part``, or whose stem is listed."""
+    stem = F.regexp_replace(F.element_at(F.split(F.col(file), "/"), -1), r"\.[^.]*$", "")
+    out = rows if part is None else rows.where(F.col(file).contains(part))
+    return out.where(stem.isin(*stems)) if stems else out
+
+
+def by_prefix(c: Column, prefixes: dict[str, str], default: str) -> Column:
+    """What the first matching prefix of a name stands for: a language, a prompt."""
+    out = F.lit(default)
+    for p, value in reversed(prefixes.items()):
+        out = F.when(c.startswith(p), value).otherwise(out)
+    return out

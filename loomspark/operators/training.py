@@ -64,3 +64,11 @@ def translate_prompt(t: Column, language: Column) -> Column:
 
 def one_hot(pick: Column) -> Column:
     return F.array(*[(pick == y).cast("double") for y in LABELS])
+
+
+def preference_prompt(template: str, t: Column, a: Column, b: Column) -> Column:
+    """A judge's prompt from a template with {transliteration}, {translation_a} and {translation_b}."""
+    out = F.lit(template)
+    for name, c in (("transliteration", t), ("translation_a", a), ("translation_b", b)):
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(c, F.lit("")))
+    return out

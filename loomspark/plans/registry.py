@@ -16,7 +16,7 @@ from ..functions import draws as R
 from ..functions import rules
 from ..functions import similarity as S
 from ..functions import text as X
-from ..operators import assembly, dedup, evaluation, filters, generation, linkage, segments, training
+from ..operators import assembly, dedup, evaluation, filters, generation, linkage, nearest, segments, training
 from ..sources import markup, responses
 from ..streaming import resume
 
@@ -249,10 +249,8 @@ def _(spark, d):
 SELECT query_id, vec_id FROM q, embeddings WHERE vec_id <> query_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(e::DOUBLE[], embedding::DOUBLE[]) DESC, vec_id) <= 5""")
 def _(spark, d):
     rows = table(spark, d, "embeddings")
-    queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_e"))
-    met = rows.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id"))  # the stated query set
-    met = met.withColumn("_c", S.cosine(F.col("_e"), F.col("embedding")))
-    return segments.top_per_group(met, ["query_id"], 5, F.desc("_c"), "vec_id").select("query_id", "vec_id")
+    queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return nearest.nearest(rows, queries, 5).select("query_id", "vec_id")
 
 
 # -- dedup -----------------------------------------------------------------------

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from loomspark.operators import assembly, dedup, evaluation, filters, generation, linkage, segments, training
+from loomspark.operators import assembly, dedup, evaluation, filters, generation, linkage, nearest, segments, training
 from loomspark.sources import files, markup, responses
 from loomspark.streaming import resume
 
@@ -237,3 +237,31 @@ def test_files_and_streaming(spark, tmp_path):
     texts = spark.createDataFrame([("i1", "al", "Kt 5 (BM 7)", "ex", 0), ("i2", "al", "none", "", 1)], "oare_id string, aliases string, label string, excavation_no string, ord int")
     got = files.published_lookups(texts, "ord")
     assert {k: rows(v, "key", "matched") for k, v in got.items()} == {"alias": [("al", "i2")], "museum_no": [("BM 7", "i1")], "excavation_no": [("ex", "i1")]}
+
+
+def test_nearest(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    vectors = {k: rng.normal(size=8) for k in range(60)} | {60: np.zeros(8)}
+    vectors[61] = vectors[3]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in vectors.items()] + [(62, None)], "vec_id long, embedding array<double>").repartition(5)
+    asked = df.where("vec_id in (3, 7, 20)").withColumnRenamed("vec_id", "query_id")
+    for block in (2, 100):
+        got = {}
+        for r in nearest.nearest(df, asked, 4, block=block).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        for q in (3, 7, 20):
+            cos = {k: (v @ vectors[q]) / max(np.linalg.norm(v) * np.linalg.norm(vectors[q]), 1e-300) for k, v in vectors.items() if k != q}
+            assert got[q] == set(sorted(cos, key=lambda k: (-round(cos[k], 12), k))[:4])
+    assert nearest.nearest(df, asked.limit(0), 4).count() == 0
+
+
+def test_reports_and_prompts(spark):
+    t = spark.createDataFrame([("fuzzy_81.5",), ("fuzzy_90.0",), ("alias",), (None,)], "method string")
+    assert rows(assembly.linkage_report(t, t.limit(0)), "kind", "method", "n") == [("tablet", "alias", 1), ("tablet", "fuzzy", 2), ("tablet", "none", 1)]
+    prompt = training.preference_prompt("{transliteration}|{translation_a}|{translation_b}", F.lit("t"), F.lit("a"), F.lit(None).cast("string"))
+    assert spark.range(1).select(prompt).first()[0] == "t|a|"
+    assert spark.range(1).select(filters.by_prefix(F.lit("akt_5"), {"akt": "tr", "akt_5": "x"}, "en")).first()[0] == "tr"
+    f = spark.createDataFrame([("/a/one.pdf",), ("/a/two.pdf",)], "f string")
+    assert rows(filters.of_files(f, "f", part="o", stems=("one",)), "f") == [("/a/one.pdf",)]
