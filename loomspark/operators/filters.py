@@ -55,9 +55,14 @@ def is_name_gloss(c: Column) -> Column:
 def is_echo(t: Column, tr: Column, share: float = 0.8) -> Column:
     """More than ``share`` of the translation's signs are signs of the source."""
     plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9 ]", "")
-    a, b = plain(t), plain(tr)
-    met = F.size(F.filter(F.split(b, ""), lambda ch: (ch != "") & F.contains(a, ch)))
-    return (a != "") & (b != "") & (met > F.char_length(b) * share)
+    # Bound once in a struct: the source must not be normalised again for every sign.
+    both = F.array(F.struct(plain(t).alias("a"), plain(tr).alias("b")))
+
+    def echo(x: Column) -> Column:
+        met = F.size(F.filter(F.split(x["b"], ""), lambda ch: (ch != "") & F.contains(x["a"], ch)))
+        return (x["a"] != "") & (x["b"] != "") & (met > F.char_length(x["b"]) * share)
+
+    return F.get(F.transform(both, echo), F.lit(0))
 
 
 def reasons(pairs: DataFrame, min_words: int = 4, include_medium: bool = False) -> DataFrame:
