@@ -1,7 +1,14 @@
 """Licence scans: a trained paragraph classifier, confirmed against templates.
 
-A paragraph is a line, or a sentence of a line of more than LONG words.  Its word 1- to
-3-grams (versions, years and addresses normalised) feed a sparse multinomial logistic
+A paragraph is a line, or a sentence of a line of more than LONG words.  What is judged
+is each paragraph, each sentence of a block of lines (lines that follow each other
+without an empty one are joined first, so a hard-wrapped notice is whole again) and,
+within a sentence of other words, each passage that holds as good as a whole notice.  A
+hit belongs to the paragraph in which its notice begins, one for each family; of hits
+that overlap, the one whose notice is there more fully counts, and a paragraph's own only
+where no sentence has one.
+
+The word 1- to 3-grams (versions, years and addresses normalised) feed a sparse multinomial logistic
 regression over the licence families and ``none``.  It is trained here on variants of
 the notices below (words dropped, swapped in and wrapped in prose) against prose made of
 ordinary words and of the notices' own words shuffled, so that single licence words
@@ -25,6 +32,7 @@ from __future__ import annotations
 import functools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +41,7 @@ from pyspark.sql import DataFrame
 from .common import map_batches
 
 LONG, GRAMS, FALSE_RATE, CONTAINED, COVERED, WHOLE, VARIANTS, STEPS = 40, 3, 0.002, 0.6, 0.5, 0.9, 60, 80
+GAP = 8
 
 #: Notices by which licences are commonly stated.
 NOTICES: dict[str, list[str]] = {
@@ -108,6 +117,7 @@ COMMON = frozenset(
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 _NUMBER = re.compile(rb"v?\d+")
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+")
+_END = re.compile(r"[.!?;]\s*$")
 
 
 def words(text: str) -> list[bytes]:
@@ -136,6 +146,9 @@ class Scanner:
         self.families = sorted(NOTICES)
         self.templates = {f: [_pairs(words(t)) for t in NOTICES[f]] for f in self.families}
         self.peculiar = {w for f in self.families for t in NOTICES[f] for w in words(t)} - {w.encode() for w in COMMON} - {b"#"}
+        self.inner = [{p for p in t if b"^" not in p and b"$" not in p} for ts in self.templates.values() for t in ts]
+        whose = [f for f in self.families for _ in self.templates[f]]
+        self.of = {f: [k for k, g in enumerate(whose) if g == f] for f in self.families}
         self.pairs = {p for ts in self.templates.values() for t in ts for p in t}
         rows = self._variants(rng)
         held = [r for k, r in enumerate(rows) if k % 4 == 0]
@@ -231,6 +244,74 @@ class Scanner:
             confirmed |= both >= COVERED * len(t) and alike >= CONTAINED or whole and alike >= CONTAINED / 2
         return (self.families[k] if confirmed and possible and p[k] >= self.cutoff else None), float(p[k]), match
 
+    def _passages(self, w: list[bytes]) -> set[tuple[int, int]]:
+        """[from, to) of the passages that hold WHOLE of a notice's word pairs, none GAP words from the next."""
+        pairs, out = list(zip(w, w[1:], strict=False)), set()
+        known = self.pairs.intersection(pairs)
+        for t in self.inner:
+            need = WHOLE * len(t)
+            if len(known & t) < need:
+                continue
+            at = [i for i, x in enumerate(pairs) if x in t]
+            edges = [0, *(k for k in range(1, len(at)) if at[k] - at[k - 1] > GAP), len(at)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                count = Counter(pairs[i] for i in at[a:b])
+                if len(count) < need:
+                    continue
+                while b - a > 1 and count[pairs[at[a]]] > 1 and at[a + 1] > at[a] + 1:  # a pair that the notice has again
+                    count[pairs[at[a]]] -= 1
+                    a += 1
+                while b - a > 1 and count[pairs[at[b - 1]]] > 1 and at[b - 2] < at[b - 1] - 1:
+                    count[pairs[at[b - 1]]] -= 1
+                    b -= 1
+                out.add((at[a], at[b - 1] + 2))
+        return out
+
+    def _found(self, w: list[bytes], a: int, b: int) -> tuple | None:
+        """(share of the notice found, its first and last word, family, probability, match) of words [a, b)."""
+        family, p, match = self.classify(w[a:b])
+        if not family:
+            return None
+        pairs = list(zip(w[a:b], w[a + 1 : b], strict=False))
+        shares = [(len(t.intersection(pairs)) / len(t), t) for t in (self.inner[k] for k in self.of[family])]
+        share, best = max(shares, key=lambda x: x[0])
+        at = [a + i for i, x in enumerate(pairs) if x in best] or [a, b - 1]
+        return share, at[0], at[-1] + 1, family, p, match
+
+    def _block(self, block: list[tuple[int, str]]) -> list[tuple[int, str, float, float]]:
+        """Hits of a block of paragraphs (number, text)."""
+        w: list[bytes] = []
+        owner: list[int] = []
+        cuts, starts = {0}, []
+        for k, text in block:
+            starts.append(len(w))
+            for j, part in enumerate(_SENTENCE.split(text)):
+                if j:
+                    cuts.add(len(w))
+                w += words(part)
+            if _END.search(text):
+                cuts.add(len(w))
+            owner += [k] * (len(w) - len(owner))
+        if self.peculiar.isdisjoint(w):
+            return []
+        ends = sorted(cuts | {len(w)})
+        said, alone = [], []
+        for a, b in zip(ends, ends[1:], strict=False):
+            if self._possible(w[a:b]):
+                said += [self._found(w, a, b), *(self._found(w, a + c, a + d) for c, d in self._passages(w[a:b]))]
+        for a, b in zip(starts, [*starts[1:], len(w)], strict=True):
+            if self._possible(w[a:b]):
+                alone.append(self._found(w, a, b))
+        kept: list[tuple] = []
+        for each in (said, alone):  # of two that overlap, the one whose notice is there more fully
+            for x in sorted(filter(None, each), key=lambda x: (-x[0], x[1] - x[2], x[1], -x[4])):
+                if all(x[2] < y[1] or y[2] < x[1] for y in kept):
+                    kept.append(x)
+        hits: dict[tuple[int, str], tuple[float, float]] = {}
+        for _, a, _, family, p, match in kept:
+            hits[owner[a], family] = max(hits.get((owner[a], family), (0.0, 0.0)), (p, match))
+        return [(k, family, p, match) for (k, family), (p, match) in sorted(hits.items())]
+
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, str, float, float]]]:
         """Paragraphs of a text, and (number, family, probability, match) of those with a licence."""
         lines = [x for x in (text or "").split("\n") if x and not x.isspace()]
@@ -238,14 +319,15 @@ class Scanner:
             return 0, []
         if self.peculiar.isdisjoint(text.encode("utf-8", "surrogatepass").translate(_TABLE).split()):
             return sum(len(_SENTENCE.split(x)) if x.count(" ") >= LONG else 1 for x in lines), []
-        n, found = 0, []
-        for line in lines:
+        n, found, block = 0, [], []
+        for line in [*text.split("\n"), ""]:
+            if not words(line):  # an empty line, or one of signs alone, ends a block
+                found += self._block(block)
+                block = []
+                n += bool(line) and not line.isspace() and len(_SENTENCE.split(line) if line.count(" ") >= LONG else (line,))
+                continue
             for part in _SENTENCE.split(line) if line.count(" ") >= LONG else (line,):
-                w = words(part)
-                if self._possible(w):
-                    family, p, match = self.classify(w)
-                    if family:
-                        found.append((n, family, p, match))
+                block.append((n, part))
                 n += 1
         return n, found
 
@@ -264,7 +346,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         names = ["paragraph", "family", "probability", "match"]
         return pa.RecordBatch.from_arrays(
             [
-                batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([len(f) for _, f in found], pa.int64()),
+                batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([len({x[0] for x in f}) for _, f in found], pa.int64()),
                 pa.array([",".join(sorted({x[1] for x in f})) for _, f in found]),
                 pa.array([[dict(zip(names, x, strict=True)) for x in f] for _, f in found], hits),
             ],

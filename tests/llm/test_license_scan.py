@@ -46,3 +46,48 @@ def test_documents(spark):
     got = sorted(L.scan_licenses(frame).collect(), key=str)
     assert [(r.doc_id, r.n_paragraphs, r.families) for r in got] == [(1, 0, ""), (1, 3, "mit,proprietary"), (2, 0, ""), (3, 2, "mit"), (None, 2, "")]
     assert L.scan_licenses(frame.limit(0)).count() == 0
+
+
+GPL = """{0} This program is free software{1} you can redistribute it and/or modify
+{0} it under the terms of the GNU General Public License as published by
+{0} the Free Software Foundation{2} either version {3} of the License, or
+{0} (at your option) any later version.
+{0}
+{0} This program is distributed in the hope that it will be useful,
+{0} but WITHOUT ANY WARRANTY; without even the implied warranty of
+{0} MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the
+{0} GNU General Public License for more details.
+"""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+"""
+
+
+@pytest.mark.parametrize("lead", ["", "#", " *", "//"])
+@pytest.mark.parametrize("signs", [(":", ",", 3), (";", ";", 2)])
+def test_wrapped_header_is_one_hit(lead, signs):
+    for before, at in (("", (0, 1)), ("{0} thing - does a thing\n{0} Written by Some One\n", (2, 3))):
+        n, found = L.scanner().scan((before + GPL).format(lead, *signs))
+        assert n == 8 + 2 * bool(before) + bool(lead) and {f for _, f, _, _ in found} == {"gpl"} and found[0][0] in at and len(found) == 1
+
+
+def test_other_wrapped_notices():
+    s = L.scanner()
+    assert [(k, f) for k, f, _, _ in s.scan("title\n\n" + MIT)[1]] == [(1, "mit")]
+    lesser = GPL.replace("GNU General", "GNU Lesser General").replace("program", "library").format("", ";", ";", 2)
+    assert {f for _, f, _, _ in s.scan(lesser)[1]} == {"lgpl"}
+    affero = GPL.replace("GNU General", "GNU Affero General").format("", ":", ",", 3)
+    assert {f for _, f, _, _ in s.scan(affero)[1]} == {"agpl"}
+
+
+@pytest.mark.parametrize("n", [1, 5, 11, 23, 34, 39, 80, 400])
+def test_notice_inside_a_line(n):
+    prose = " ".join(["river", "stone", "walks", "over", "green"][k % 5] for k in range(n))
+    for text in (f"{prose}. Released under the MIT License.", f"{prose}, released under the MIT License, {prose}", f"{prose}. Released under the MIT License. {prose}."):
+        assert [f for _, f, _, _ in L.scanner().scan(text)[1]] == ["mit"]
+    both = L.scanner().scan(f"{prose}. Released under the MIT License. All rights reserved.")[1]
+    assert [f for _, f, _, _ in both] == ["mit", "proprietary"]
