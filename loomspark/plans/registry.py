@@ -507,7 +507,7 @@ def _(spark, d):
 
 @query("corpus_score")
 def _(spark, d):
-    rows = pairs(spark, d).select(F.col("t").alias("hyp"), F.substring("t", 1, 60).alias("ref"))
+    rows = pairs(spark, d).select(F.col("t").alias("hyp"), F.col("tr").alias("ref"))
     return evaluation.corpus_score(rows).select(*[F.round(c, 6).alias(c) for c in ("bleu", "chrf", "score")])
 
 

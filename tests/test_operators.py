@@ -1,13 +1,16 @@
 """Micro-fixtures of the operators; brute force where SQL has no word for them."""
 
 import math
+import random
 import re
+import string
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from loomspark.operators import assembly, dedup, evaluation, filters, generation, linkage, nearest, segments, training
+from loomspark.plans import registry
 from loomspark.sources import files, markup, responses
 from loomspark.streaming import resume
 
@@ -153,6 +156,47 @@ def test_scores(spark):
     assert tuple(none) == (0.0, 0.0, 0.0)
 
 
+def brute_chrf(hyps, refs):
+    def words(s):
+        out = []
+        for w in s.split():
+            last, first = w[-1] in string.punctuation, w[0] in string.punctuation
+            out += [w] if len(w) == 1 else [w[:-1], w[-1]] if last else [w[0], w[1:]] if first else [w]
+        return out
+
+    precision, recall, orders = 0.0, 0.0, 0
+    for cut, top in ((lambda s: "".join(s.split()), 6), (words, 2)):
+        for n in range(1, top + 1):
+            m = a = b = 0
+            for h, r in zip(hyps, refs, strict=True):
+                x, y = (Counter(tuple(z[i : i + n]) for i in range(len(z) - n + 1)) for z in (cut(h), cut(r)))
+                m, a, b = m + sum((x & y).values()), a + sum(x.values()), b + sum(y.values())
+            if a and b:
+                precision, recall, orders = precision + m / a, recall + m / b, orders + 1
+    p, r = precision / orders, recall / orders
+    return 100 * 5 * p * r / (4 * p + r)
+
+
+def test_registered_score_reads_whole_references(spark, tmp_path):
+    rng = random.Random(4)
+    text = lambda n: " ".join(rng.choice(["the", "dog,", "(cat", "1,000", "naïve", "río.", "a", "sat", "x-y"]) for _ in range(n))
+    said = [(text(n), text(m)) for n, m in ((3, 5), (40, 60), (300, 20), (1, 1), (90, 400))]
+    said += [("same words " * 50, "same words " * 50 + "and a tail that only the reference has"), ("𝒳 y", "𝒳 z")]
+    turns = [(k, t, role, x) for k, two in enumerate(said) for t, (role, x) in enumerate(zip(("user", "assistant"), two, strict=True))]
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = registry.QUERIES["corpus_score"](spark, str(tmp_path)).first()
+    hyps, refs = zip(*said, strict=True)
+    bleu, chrf = brute_bleu(hyps, refs), brute_chrf(hyps, refs)
+    assert (got.bleu, got.chrf, got.score) == pytest.approx((bleu, chrf, math.sqrt(bleu * chrf)), abs=1e-5)
+
+
+def test_scores_of_long_texts(spark):
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choices("abcdefgh", k=rng.randrange(1, 9))) for _ in range(20_000))
+    got = evaluation.corpus_score(spark.createDataFrame([(text, text + " more"), (None, ""), ("", None)], "hyp string, ref string")).first()
+    assert 99 < got.bleu < 100 and 99 < got.chrf < 100
+
+
 def test_selection(spark):
     opts = spark.createDataFrame([(1, 0, "a quick brown fox jumps"), (1, 1, "a quick brown fox leaps"), (1, 2, "zz"), (2, 0, "alone")], "group_id int, option int, text string")
     got = {r.group_id: (r.option, r.score) for r in evaluation.select_by_agreement(opts).collect()}
