@@ -23,7 +23,7 @@ All hashes are 64 or 128 bits; keys only bring rows together, and a span's hash
 bits is compared within a key of 64 bits.
 
 Defined cases: null is an empty text; texts under ``length`` bytes are never changed;
-repeated rows are copies of each other; matches never cross texts; extra columns are
+repeated rows are copies of each other, and ``keep="first"`` keeps one of them; matches never cross texts; extra columns are
 not read; removing bytes may leave bytes that are no UTF-8, so ``kept`` is binary.
 """
 
@@ -356,9 +356,23 @@ def _cut_finer(hot: DataFrame, cut: int, length: int, group: int) -> tuple[DataF
     return materialize(done.where("size(earlier) > 0 or size(any) > 0"), "done"), left
 
 
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """``docs`` with a ``rid`` of its own for each of the rows that repeat an id and a text, so that one of them is the first."""
+    counts = docs.groupBy("doc_id", "rid").agg(F.count("*").alias("_m")).where("_m > 1").drop("_m")
+    repeated = lasting(counts, "repeats")
+    if not repeated.limit(1).count():
+        return docs
+    same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.rid") == F.col("w.rid"))
+    join = lambda how: docs.alias("d").join(repeated.alias("w"), same, how).select("d.doc_id", "d.text", "d.rid")
+    rows = join("left_semi").withColumn("rid", F.xxhash64("rid", F.monotonically_increasing_id()))
+    return join("left_anti").unionByName(lasting(rows, "numbered"))  # written, so that the numbers stay
+
+
 def remove_copies(docs: DataFrame, length: int = LENGTH, keep: str = "none", group: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, kept (bytes), spans (removed byte ranges) and counts of every row."""
     docs = docs.select("doc_id", "text").withColumn("rid", F.xxhash64("doc_id", "text"))
+    if keep == "first":
+        docs = _told_apart(docs)
     with scratch(docs.sparkSession):
         found = lasting(copies(docs, length, keep, group), "copies")
     both = docs.alias("d").join(found.alias("w"), (F.col("d.rid") == F.col("w.rid")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left")

@@ -103,5 +103,25 @@ def test_first_is_kept(spark, group):
     assert sorted(str(tuple(r)[:5]) for r in out) == brute(rows, 80, "first")
 
 
+@pytest.mark.parametrize("group", [256, 3])
+def test_first_of_repeated_rows_is_kept(spark, group):
+    rows = corpus(6, 50)
+    rows += [(rows[k][0], rows[k][1], "z") for k in (3, 8, 8, 20, 21, 22)] + [rows[-2], rows[-1]]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for parts in (1, 5):
+        out = S.remove_copies(docs.repartition(parts), 80, keep="first", group=group).collect()
+        assert sorted(str(tuple(r)[:5]) for r in out) == brute(rows, 80, "first")
+
+
+@pytest.mark.parametrize("times", [2, 3])
+def test_one_repeated_row_stays_whole(spark, times):
+    text = corpus(7, 10)[-1][1]
+    other = "x" + text[:200] + "y" + text[150:400]
+    rows = [(1, text, "")] * times + [(2, other, "")] * times
+    out = S.remove_copies(spark.createDataFrame(rows, SCHEMA), 80, keep="first").collect()
+    assert sum(r.n_removed == 0 for r in out if r.doc_id == 1) == 1
+    assert sorted(str(tuple(r)[:5]) for r in out) == brute(rows, 80, "first")
+
+
 def test_empty(spark):
     assert S.remove_copies(spark.createDataFrame([], SCHEMA)).count() == 0
