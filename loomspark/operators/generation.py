@@ -24,7 +24,8 @@ UNITS = [
     ("wheat", "GIG", "wheat", "na-ru-uq", "sacks", 1, 50, None), ("wheat", "GIG", "wheat", "DUG", "jars", 1, 10, None),
     ("textiles", "TÚG", "textiles", "", "", 1, 300, None), ("kutanu", "ku-ta-nu", "kutānu-textiles", "", "", 1, 200, None),
     ("donkeys", "ANŠE", "donkeys", "", "", 1, 30, None), ("sheep", "UDU", "sheep", "", "", 1, 25, None),
-    ("bread", "NINDA", "loaves of bread", "", "", 1, 100, None),
+    ("bread", "NINDA", "loaves of bread", "", "", 1, 100, None), ("hides", "maš-ku", "hides", "", "", 1, 200, None),
+    ("lapis_lazuli", "hu-sà-ri-im", "lapis lazuli", "GÍN", "shekels", 1, 30, None), ("lapis_lazuli", "hu-sà-ri-im", "lapis lazuli", "ma-na", "minas", 1, 20, "GÍN"),
 ]
 # Qualifiers of commodities; none is always possible too.
 QUALIFIERS = {

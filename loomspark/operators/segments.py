@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import draws as R
+from ..functions import similarity as S
 from ..functions import text as X
 
 # Sizes of merged windows and their weights.
@@ -109,3 +110,18 @@ def ema(rows: DataFrame, key: str, order: str, value: str, keep: float = 0.99) -
     values = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order), F.col(value).alias("v")))), lambda x: x["v"].cast("double"))
     step = lambda a, v: F.when(a.isNull(), v).otherwise(a * keep + v * (1 - keep))
     return rows.where(F.col(value).isNotNull()).groupBy(key).agg(F.aggregate(values, F.lit(None).cast("double"), step).alias("ema"))
+
+
+def round_trip(records: DataFrame, parts: DataFrame, sides: tuple[str, ...] = ("t",), key: str = "id", threshold: float = 0.9) -> DataFrame:
+    """key, a similarity for each side, valid: a record against its parts (key, pos, sides), joined in order.
+
+    Empty parts are left out; null counts as empty; a record without parts is compared with nothing.
+    """
+    held = F.sort_array(F.collect_list(F.struct("pos", *sides))).alias("_p")
+    rows = records.join(parts.groupBy(key).agg(held), key, "left")
+    joined = lambda c: F.coalesce(F.array_join(F.filter(F.col(f"_p.{c}"), lambda x: x != ""), " "), F.lit(""))
+    rows = rows.withColumns({f"{c}_similarity": S.ratio(F.coalesce(c, F.lit("")), joined(c)) for c in sides})
+    valid = F.lit(True)
+    for c in sides:
+        valid = valid & (F.col(f"{c}_similarity") >= threshold)
+    return rows.select(key, *[f"{c}_similarity" for c in sides], valid.alias("valid"))

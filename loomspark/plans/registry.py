@@ -16,7 +16,7 @@ from ..functions import draws as R
 from ..functions import rules
 from ..functions import similarity as S
 from ..functions import text as X
-from ..operators import assembly, dedup, evaluation, filters, generation, linkage, nearest, segments, training
+from ..operators import assembly, dedup, evaluation, filters, generation, linkage, nearest, segments, slots, training
 from ..sources import markup, responses
 from ..streaming import resume
 
@@ -502,6 +502,28 @@ def _(spark, d):
     return generation.fill(templates, values).select("draw", "t", "tr")
 
 
+@query("resolve_slots")
+def _(spark, d):
+    pools = table(spark, d, "nation").select(F.explode(F.array(*[F.lit(x) for x in slots.POOLED])).alias("type"), F.col("n_name").alias("t"), F.col("n_name").alias("tr"))
+    types = F.array(*[F.lit(x) for x in (*slots.POOLED, "amount", "commodity", "deadline", "rate")])
+    signs = F.array(*[F.lit(x) for x in ("KÙ.BABBAR", "GUŠKIN", "", "TÚG")])
+    asked = table(spark, d, "customer").select(
+        F.col("c_custkey").alias("draw"), F.lit("X").alias("name"), F.get(types, F.pmod("c_custkey", F.size(types)).cast("int")).alias("type"),
+        F.when(F.col("c_custkey") % 3 == 0, F.create_map(F.lit("unit"), F.lit("weeks"), F.lit("commodity"), F.lit("tin"))).alias("options"),
+        F.when(F.col("c_custkey") % 5 == 0, F.array(F.lit("a-lim/City"), F.lit("Kà-ni-iš/Kanesh"))).alias("values"),
+        F.concat(F.lit("{X_TL} "), F.get(signs, F.pmod("c_custkey", F.lit(4)).cast("int"))).alias("template"), F.array().cast("array<string>").alias("types"),
+    )
+    return slots.resolve(asked, pools, generation.units(spark), 17)
+
+
+@query("embedded_commodity", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'donkeys' WHEN 1 THEN 'wool' WHEN 2 THEN 'gold' END AS commodity FROM part")
+def _(spark, d):
+    texts = F.array(*[F.lit(x) for x in ("10 ANŠE {URUDU_TL} ṣa-lá-mu", "{AMT_TL} síg.hi.a ù TÚG", "GUŠKIN {URUDU_TL}", "{AMT_TL} ší-im")])
+    names = list(dict.fromkeys((u[0], u[1]) for u in generation.UNITS))
+    said = F.get(texts, F.pmod("p_partkey", F.lit(4)).cast("int"))
+    return table(spark, d, "part").select("p_partkey", slots.detected(slots.plain(said), names).alias("commodity"))
+
+
 # -- evaluation and training -----------------------------------------------------
 
 
@@ -511,6 +533,19 @@ def _(spark, d):
     return evaluation.corpus_score(rows).select(*[F.round(c, 6).alias(c) for c in ("bleu", "chrf", "score")])
 
 
+@query("length_summary", "SELECT avg(length(text)) AS mean, median(length(text)) AS median FROM documents")
+def _(spark, d):
+    return evaluation.length_summary(table(spark, d, "documents"), "text")
+
+
+@query("round_trip")
+def _(spark, d):
+    p = pairs(spark, d).select(F.concat_ws("/", "conv_id", "turn").alias("id"), "conv_id", "t", "tr")
+    split = p.select("id", "conv_id", F.posexplode(F.split("t", " ")).alias("pos", "t"), F.get(F.split("tr", " "), F.col("pos")).alias("tr"))
+    kept = split.where("conv_id % 3 <> 0 or pos % 4 <> 1")
+    return segments.round_trip(p, kept, ("t", "tr"))
+
+
 @query("select_by_agreement")
 def _(spark, d):
     options = table(spark, d, "conversations").where("role = 'user'").select(F.col("conv_id").alias("group_id"), F.col("turn").alias("option"), "text")

@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from loomspark.operators import assembly, dedup, evaluation, filters, generation, linkage, nearest, segments, training
+from loomspark.operators import assembly, dedup, evaluation, filters, generation, linkage, nearest, segments, slots, training
 from loomspark.plans import registry
 from loomspark.sources import files, markup, responses
 from loomspark.streaming import resume
@@ -309,3 +309,53 @@ def test_reports_and_prompts(spark):
     assert spark.range(1).select(filters.by_prefix(F.lit("akt_5"), {"akt": "tr", "akt_5": "x"}, "en")).first()[0] == "tr"
     f = spark.createDataFrame([("/a/one.pdf",), ("/a/two.pdf",)], "f string")
     assert rows(filters.of_files(f, "f", part="o", stems=("one",)), "f") == [("/a/one.pdf",)]
+
+
+def test_round_trip(spark):
+    from difflib import SequenceMatcher
+
+    records = [(1, "a-na ša-lim qí-bi-ma", "to Šalim speak"), (2, "um-ma a-šùr", "thus Aššur"), (3, "x", None), (4, "long text here", "y")]
+    parts = [(1, 1, "qí-bi-ma", "speak"), (1, 0, "a-na ša-lim", "to Šalim"), (2, 0, "um-ma", "thus Aššur"), (2, 1, "", None), (4, 0, "long text here", "z")]
+    df = spark.createDataFrame(records, "id int, t string, tr string")
+    got = rows(segments.round_trip(df, spark.createDataFrame(parts, "id int, pos int, t string, tr string"), ("t", "tr")), "id", "t_similarity", "tr_similarity", "valid")
+    for (k, t, tr, ok), (_, a, b) in zip(got, records, strict=True):
+        mine = sorted(p for p in parts if p[0] == k)
+        want = [SequenceMatcher(None, x or "", " ".join(p[i] for p in mine if p[i])).ratio() for i, x in ((2, a), (3, b))]
+        assert [t, tr] == want and ok == (min(want) >= 0.9)
+    assert [x[3] for x in got] == [True, False, False, False]
+
+
+def test_length_summary(spark):
+    df = spark.createDataFrame([("a",), ("𝒳bc",), (None,), ("abcdefgh",), ("abcd",)], "text string")
+    assert tuple(evaluation.length_summary(df, "text").first()) == (4.0, 3.5)
+
+
+def test_slots(spark):
+    pools = spark.createDataFrame([(p, f"{p}-T", f"{p}-R") for p in slots.POOLED if p != "item"] + [("month", "b", "B")], "type string, t string, tr string")
+    kinds = [(p, "S", {}, None, "", []) for p in slots.POOLED if p != "item"]
+    kinds += [("place", "S", {}, ["a / b", "c/d"], "", []), ("occupation", "S", {}, ["lone"], "", []), ("rate", "S", {}, None, "", []), ("deadline", "S", {"unit": "weeks"}, None, "", [])]
+    kinds += [("amount", "NUM", {}, None, "", []), ("amount", "N", {"unit": "years"}, None, "", []), ("amount", "S", {"bare_number": "true"}, None, "", [])]
+    kinds += [("commodity", "S", {"weight_only": "true", "exclude_silver": "true"}, None, "", []), ("amount", "S", {"commodity": "tin"}, None, "{X_TL} x", [])]
+    kinds += [("amount", "S", {"commodity": "tin"}, None, "{S_TL} AN.NA", []), ("amount", "S", {}, None, "{S_TL} Ku.KI", []), ("amount", "S", {}, None, "x", []), ("amount", "S", {"commodity": "tin"}, None, "x", ["commodity"])]
+    data = [(100 * k + i, n, t, o, v, e, y) for k, (t, n, o, v, e, y) in enumerate(kinds) for i in range(60)]
+    df = spark.createDataFrame(data, "draw int, name string, type string, options map<string,string>, values array<string>, template string, types array<string>")
+    got: dict = {}
+    for r in slots.resolve(df, pools, generation.units(spark), 5).collect():
+        got.setdefault(r.draw // 100, []).append((r.t, r.tr))
+    assert all(len(got[k]) == 60 and all(t and tr for t, tr in got[k]) for k in range(len(kinds)))
+    at = lambda *x: [got[k] for k, y in enumerate(kinds) if y == x][0]
+    assert set(at("month", "S", {}, None, "", [])) == {("month-T", "month-R"), ("b", "B")}
+    assert set(got[6]) == {("a", "b"), ("c", "d")} and set(got[7]) == {("lone", "lone")}
+    assert {t for t, _ in got[8]} <= {x.removesuffix(" GÍN.TA") for x in generation.RATES} and len(set(got[8])) > 3
+    assert all(2 <= int(t) <= 70 for t, _ in got[9]) and max(int(t) for t, _ in got[9]) > 12
+    assert {int(t) for t, _ in got[10]} == set(range(1, 13)) and {int(t) for t, _ in got[11]} == set(range(1, 6))
+    assert all(re.fullmatch(r"\d+( [½⅓⅔¼⅙⅚])?", t) and t == tr for t, tr in got[12])
+    assert {tr for _, tr in got[13]} <= {"tin", "copper", "gold", "wool", "meteoric iron", "lapis lazuli", "barley", "wheat"}
+    assert all("AN.NA" in t and tr.endswith("tin") for t, tr in got[14]) and not any("AN.NA" in t or "of" in tr for t, tr in got[15] + got[18])
+    assert not any("KÙ.GI" in t for t, _ in got[16]) and len({tr.split(" of ")[-1] for _, tr in got[17]}) > 5
+    for kind in ("odd", "item"):
+        with pytest.raises(Exception, match=kind):
+            slots.resolve(df.withColumn("type", F.lit(kind)), pools, generation.units(spark), 5).collect()
+    units = F.array(F.struct(F.lit(1).alias("low"), F.lit(60).alias("high"), F.lit("GÍN").alias("u_t"), F.lit("shekels").alias("u_tr")))
+    simple = spark.range(300).select(slots.simple_amount(units, F.lit("AN.NA"), F.lit("tin"), "7", F.col("id")).alias("v")).select("v.*").collect()
+    assert {r.t for r in simple} == {f"{n} GÍN AN.NA" for n in range(1, 31)} and {r.tr for r in simple if r.t[:2] == "1 "} == {"1 shekel of tin"}
