@@ -4,8 +4,9 @@ A page is parsed into lines, one for each block of text, with where it stands: i
 the page's article, inside structure that is never article text (menus, headers,
 footers, sidebars, notices, adverts, forms, comments, scripts, styles, hidden parts),
 in running-text elements, or in links.  Pages are sorted by host and URL path in range
-partitions, so one host with any share of all pages is split, and each page is paired
-with the neighbour whose path is most like its own.  The lines of the pair are aligned
+partitions, so one host with any share of all pages is split; the pages at an edge go
+to both sides, and each page is paired with the neighbour whose path is most like its
+own, whatever the partitions.  The lines of the pair are aligned
 by a longest common subsequence and shared ones are deleted.
 
 Differencing alone cannot give the article: menus, adverts and footers of these pages
@@ -19,7 +20,7 @@ blocks are joined by one newline.
 
 Defined cases: null or empty html is an empty text; unclosed elements end where HTML
 ends them or with the page; an unfinished tag at the end is markup; a null URL is a
-host of its own; a page alone in its partition is not paired; repeated rows are each
+host of its own; a page alone on its host is not paired; repeated rows are each
 extracted; extra columns are not read.
 """
 
@@ -32,12 +33,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_session
 
 COPY_SHARE = 0.9
+#: Keys of the sample for each range.
+SAMPLE = 50
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.S,
@@ -242,13 +245,13 @@ def extract(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
     keyed = pages.select("page_id", "url", "html", host.alias("_host"), F.rtrim(path, F.lit("/")).alias("_path"))
-    ordered = keyed.repartitionByRange("_host", "_path", "page_id").sortWithinPartitions("_host", "_path", "page_id")
+    ordered = _with_edges(keyed)
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for page_id, url, html, h, p in zip(*batch.columns, strict=True):
-                yield page_id.as_py(), url.as_py(), parse(html.as_py()), (h.as_py(), p.as_py())
+            for page_id, url, html, h, p, own in zip(*batch.columns, strict=True):
+                yield page_id.as_py(), url.as_py(), parse(html.as_py()), (h.as_py(), p.as_py()), own.as_py()
 
     def near(one: tuple | None, key: tuple) -> int:
         return len(os.path.commonprefix([one[3][1] or "", key[1] or ""])) if one and one[3][0] == key[0] else -1
@@ -268,7 +271,7 @@ def extract(pages: DataFrame) -> DataFrame:
             yield from batches
 
         for after in _with_last(rows(chain())):
-            if now:
+            if now and now[4]:
                 a, b = near(before, now[3]), near(after, now[3])
                 other = None if max(a, b) < 0 else (before if a >= b else after)
                 text = main_text(now[2], other[2] if other else None)
@@ -283,6 +286,39 @@ def extract(pages: DataFrame) -> DataFrame:
     return ordered.mapInArrow(difference, f"page_id {kind}, url string, text string, n_chars long")
 
 
+def _with_edges(keyed: DataFrame) -> DataFrame:
+    """Rows in order of host and path in range partitions, each with the page before and the page behind it.
+
+    The ranges are cut at keys of a sample, so the last key of a range and the first of the
+    next are known before the pages are dealt; their rows go to both, ``_own`` in one.
+    """
+    spark = keyed.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct("_host", "_path", "page_id")
+    keys = keyed.select(key.alias("_k"))
+    kind = keys.schema["_k"].dataType
+    total = keys.count()
+    share = F.pmod(F.xxhash64("_k"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE * n / max(1, total)))
+    drawn = sorted((r[0] for r in keys.where(share).distinct().collect()), key=lambda k: [(x is not None, x) for x in _order(k)])
+    cuts = spark.createDataFrame([(drawn[len(drawn) * k // n],) for k in range(1, n) if drawn], f"_c {kind.simpleString()}")
+    bounds = F.broadcast(cuts.distinct().agg(F.sort_array(F.collect_list("_c")).alias("_cuts")))
+    placed = keyed.join(bounds).withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= key))).drop("_cuts")
+    edges = placed.groupBy("_range").agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
+    beside = Window.orderBy("_range")  # one row a range
+    edges = edges.select("_range", "_first", "_last", F.lag("_range").over(beside).alias("_before"), F.lead("_range").over(beside).alias("_behind"))
+    rows = placed.join(F.broadcast(edges), "_range")
+    at = lambda c, own: F.struct(c.cast("int").alias("_at"), F.lit(own).alias("_own"))
+    to = [at(F.col("_range"), True), F.when(key == F.col("_first"), at(F.col("_before"), False)), F.when(key == F.col("_last"), at(F.col("_behind"), False))]
+    dealt = rows.select("page_id", "url", "html", "_host", "_path", F.inline(F.filter(F.array(*to), lambda x: x["_at"].isNotNull())))
+    dealt = dealt.repartitionById(n, F.col("_at")).sortWithinPartitions("_host", "_path", "page_id")
+    return dealt.select("page_id", "url", "html", "_host", "_path", "_own")
+
+
+def _order(k: tuple) -> list:
+    """Strings in the order of Spark, by their bytes."""
+    return [x.encode("utf-8", "surrogatepass") if isinstance(x, str) else x for x in k]
+
+
 def _with_last(items: Iterator[tuple]) -> Iterator[tuple | None]:
     """All items, and a None behind the last."""
     yield from items

@@ -59,3 +59,23 @@ def test_pages(spark):
     want = sorted(str((p, u, t := text(h), len(t))) for p, u, h, _ in rows)
     assert sorted(str(tuple(r)) for r in got) == want
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_pairs_do_not_depend_on_partitions(spark):
+    page = "<body><div>Menu of {0} pages</div><div>Own words of page {1} and no other</div><div>Foot of {0}</div></body>"
+    rows = [(k, f"http://{'ab'[k % 2]}.example/{'xyz'[k % 3]}/{k:03}", page.format("xyz"[k % 3] + "ab"[k % 2], k * 7919)) for k in range(90)]
+    rows += [(900, None, page.format("n", 1)), (901, None, page.format("n", 2)), (902, "http://é.example/𝒳", page.format("o", 3)), (903, "http://é.example/\uff5e", page.format("o", 4))]
+    seen, held, joined = [], spark.conf.get("spark.sql.shuffle.partitions"), "spark.sql.adaptive.coalescePartitions.enabled"
+    try:
+        spark.conf.set(joined, "false")
+        for n in (1, 2, 7, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+            got = sorted(tuple(r) for r in H.extract(frame).collect())
+            assert len(got) == len(rows)
+            seen.append(got)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+        spark.conf.unset(joined)
+    assert all(x == seen[0] for x in seen)
+    assert all("Menu" not in t and t.startswith("Own words") for _, _, t, _ in seen[0])
