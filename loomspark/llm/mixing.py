@@ -8,7 +8,8 @@ is hard.  A source's budget is its weight times the total; it is realised as who
 blocks, each one permutation of all documents of the source, and a last block that is
 the longest beginning of its permutation that fits what is left of the budget.
 
-The permutation of a block is the order of a hash of (seed, block, doc_id).  The cut in
+The permutation of a block is the order of a hash of (seed, block, doc_id), which each
+row carries as ``place``; rows themselves are not sorted.  The cut in
 a last block is found in two steps, so that no source is ever sorted or gathered: sums
 per source and hash range, combined before they are shuffled, give the range in which
 the budget ends, and only that range's documents are accumulated.  Then each document
@@ -112,7 +113,8 @@ def weights(
 
 
 def realise(docs: DataFrame, weighted: DataFrame, seed: str = SEED) -> DataFrame:
-    """``docs`` as often as the budgets say, with ``block``: which permutation it is from."""
+    """``docs`` as often as the budgets say, with ``block``, which permutation a row is from, and ``place``:
+    the order of ``place`` and doc_id within a source's block is its permutation."""
     plan = weighted.withColumn("blocks", F.when(F.col("t") > 0, F.floor(F.col("budget") / F.col("t"))).otherwise(1))
     plan = plan.select("source", "n", "blocks", (F.col("budget") - F.col("blocks") * F.col("t")).alias("left"))
     rows = plan.limit(MAX_SOURCES + 1).collect()
@@ -143,4 +145,5 @@ def realise(docs: DataFrame, weighted: DataFrame, seed: str = SEED) -> DataFrame
     inside = (_range(h, ranges) < F.col("_end")) | ((_range(h, ranges) == F.col("_end")) & (h <= F.col("_last")))
     times = F.col("blocks") + (F.coalesce(inside, F.lit(False)) & (F.col("left") > 0)).cast("long")
     out = out.withColumn("_times", times.cast("int")).where("_times > 0")
-    return out.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_times") - 1))).select(*docs.columns, "block")
+    out = out.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
+    return out.select(*docs.columns, "block", _draw(F.col("block"), F.col("doc_id"), seed).alias("place"))

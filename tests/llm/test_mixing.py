@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomspark.llm import mixing as M
 
@@ -104,3 +105,15 @@ def test_empty(spark):
     assert M.realise(docs, M.weights(docs)).count() == 0
     bare = spark.createDataFrame([(1, None, "a", None, None)], SCHEMA).drop("block")
     assert [r.block for r in M.realise(bare, M.weights(bare)).collect()] == [0]
+
+
+def test_every_block_is_a_permutation_of_its_own(spark):
+    docs = spark.createDataFrame([(k, "s", "a b") for k in range(40)], "doc_id long, source string, text string")
+    weighted = M.weights(docs).withColumn("budget", F.lit(40 * 2 * 3 + 24).cast("long"))
+    blocks: dict = {}
+    for r in M.realise(docs, weighted).collect():
+        blocks.setdefault(r.block, []).append((r.place, r.doc_id))
+    whole = [[d for _, d in sorted(blocks[b])] for b in (0, 1, 2)]
+    assert all(sorted(x) == list(range(40)) for x in whole) and len({tuple(x) for x in whole}) == 3
+    want = sorted(range(40), key=lambda d: hashlib.md5(f"mix/3/{d}".encode()).hexdigest())[:12]
+    assert [d for _, d in sorted(blocks[3])] == want
