@@ -15,8 +15,8 @@ per source and hash range, combined before they are shuffled, give the range in
 the budget ends, and only that range's documents are accumulated.  Then each document
 compares its own hash with its source's cut where it is read.
 
-One row a source is gathered for the bisection and broadcast; more than MAX_SOURCES of
-them are refused.
+One number a source is gathered for the bisection.  The plan, one row a source, is
+broadcast up to MAX_SOURCES; more are joined by a shuffle, each source dealt over SALTS.
 
 Defined cases: a null source is a source; null or word-less texts have no tokens and
 come with every whole block and with their place in the last one; a source without
@@ -29,7 +29,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ENTROPY, MAX_REPEATS, SEED, STEPS, MAX_SOURCES, PER_RANGE = 0.98, 4.0, "mix", 50, 100_000, 5000
+from .common import lasting
+
+ENTROPY, MAX_REPEATS, SEED, STEPS, MAX_SOURCES, PER_RANGE, SALTS = 0.98, 4.0, "mix", 50, 100_000, 5000, 16
 
 
 def tokens(text: Column) -> Column:
@@ -118,28 +120,42 @@ def realise(docs: DataFrame, weighted: DataFrame, seed: str = SEED) -> DataFrame
     plan = weighted.withColumn("blocks", F.when(F.col("t") > 0, F.floor(F.col("budget") / F.col("t"))).otherwise(1))
     plan = plan.select("source", "n", "blocks", (F.col("budget") - F.col("blocks") * F.col("t")).alias("left"))
     rows = plan.limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
     spark = docs.sparkSession
-    plan = F.broadcast(spark.createDataFrame(rows, plan.schema))
-    ranges = max(1, sum(r.n for r in rows) // PER_RANGE)
+    if few := len(rows) <= MAX_SOURCES:
+        plan = spark.createDataFrame(rows, plan.schema)
+        n = sum(r.n for r in rows)
+    else:
+        plan = lasting(plan, "mix-plan")
+        n = plan.agg(F.sum("n")).first()[0]
+    ranges = max(1, n // PER_RANGE)
+
+    def joined(left: DataFrame, right: DataFrame, on: str, of: str, how: str = "inner") -> DataFrame:
+        """``left`` with the row of its source; over the bound by a shuffle in which a source is dealt over SALTS."""
+        equal = F.col(on).eqNullSafe(F.col(of))
+        if few:
+            return left.join(F.broadcast(right), equal, how)
+        left = left.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        right = right.withColumn("_of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return left.join(right, equal & (F.col("_salt") == F.col("_of_salt")), how).drop("_salt", "_of_salt")
+
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     measured = docs.select(F.col("source").alias("_src"), "doc_id", tokens(F.col("text")).alias("_t"))
-    measured = measured.join(plan, same("_src", "source")).withColumn("_h", _draw(F.col("blocks"), F.col("doc_id"), seed))
-    measured = measured.select("_src", "_t", "_h", "left", _range(F.col("_h"), ranges).alias("_range"))
+    measured = joined(measured, plan, "_src", "source").withColumn("_h", _draw(F.col("blocks"), F.col("doc_id"), seed))
+    measured = measured.select("_src", "doc_id", "_t", "_h", "left", _range(F.col("_h"), ranges).alias("_range"))
     by_range = measured.groupBy("_src", "_range", "left").agg(F.sum("_t").alias("_t"))
     upto = F.sum("_t").over(Window.partitionBy("_src").orderBy("_range"))
     ends = by_range.withColumn("_upto", upto).where("_upto > left").groupBy("_src").agg(
         F.min(F.struct("_range", (F.col("left") - F.col("_upto") + F.col("_t")).alias("_rest"))).alias("_e")
     )
-    ends = F.broadcast(ends.select(F.col("_src").alias("_of"), F.col("_e._range").alias("_end"), F.col("_e._rest").alias("_rest")))
-    inside = measured.join(ends, same("_src", "_of") & (F.col("_range") == F.col("_end")))
+    ends = ends.select(F.col("_src").alias("_of"), F.col("_e._range").alias("_end"), F.col("_e._rest").alias("_rest"))
+    inside = joined(measured, ends, "_src", "_of").where("_range = _end")
     run = F.sum("_t").over(Window.partitionBy("_src").orderBy("_h"))
     inside = inside.withColumn("_run", run).where("_run <= _rest").groupBy("_src").agg(F.max("_h").alias("_last"))
     inside = inside.select(F.col("_src").alias("_in"), "_last")
-    ends = ends.join(F.broadcast(inside), same("_of", "_in"), "left").drop("_in")
-    plan = plan.select(F.col("source").alias("_src"), "blocks", "left").join(ends, same("_src", "_of"), "left")
-    out = docs.join(F.broadcast(plan.select("_src", "blocks", "left", "_end", "_last")), same("source", "_src"))
+    sent = F.broadcast if few else lambda x: x
+    ends = ends.join(sent(inside), same("_of", "_in"), "left").drop("_in")
+    plan = plan.select(F.col("source").alias("_src"), "blocks", "left").join(sent(ends), same("_src", "_of"), "left")
+    out = joined(docs, plan.select("_src", "blocks", "left", "_end", "_last"), "source", "_src")
     h = _draw(F.col("blocks"), F.col("doc_id"), seed)
     # Without a last document the budget ends before the first of its range.
     inside = (_range(h, ranges) < F.col("_end")) | ((_range(h, ranges) == F.col("_end")) & (h <= F.col("_last")))

@@ -117,3 +117,15 @@ def test_every_block_is_a_permutation_of_its_own(spark):
     assert all(sorted(x) == list(range(40)) for x in whole) and len({tuple(x) for x in whole}) == 3
     want = sorted(range(40), key=lambda d: hashlib.md5(f"mix/3/{d}".encode()).hexdigest())[:12]
     assert [d for _, d in sorted(blocks[3])] == want
+
+
+@pytest.mark.parametrize("total", ["same", "cover"])
+def test_more_sources_than_are_broadcast(spark, monkeypatch, total):
+    rows = corpus(3, {"a": 300, "b": 60, "c": 50, "d": 12, None: 40}) + [(10_000, "", "empty", None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("block", "other")
+    monkeypatch.setattr(M, "PER_RANGE", 40)
+    want = sorted(map(str, M.realise(docs, M.weights(docs, total)).collect()))
+    monkeypatch.setattr(M, "MAX_SOURCES", 3)
+    got = M.realise(docs, M.weights(docs, total))
+    assert sorted(map(str, got.collect())) == want
+    assert sorted(str((r.doc_id, r.source, r.block)) for r in got.collect()) == brute(rows, total, M.ENTROPY, M.MAX_REPEATS)
