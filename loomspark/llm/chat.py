@@ -33,15 +33,19 @@ from pyspark.sql import functions as F
 _CONTROL = r"s>|INST\]|SYS\]|ANS\]|ROLE\]|\+\]"
 _OPENS = r"\[INST\]|\[SYS\]|\[ANS\]|\[ROLE\]"
 _CLOSES = r"\[/INST\]|\[/SYS\]|</s>|\[/ROLE\]"
+#: Of control strings: all begin with one of two signs and end with one of two, which is looked at first.
 _ANY = rf"<s>|\[\+\]|{_OPENS}|{_CLOSES}"
+_EDGE = rf"(?<=[>\]])(?<={_ANY})|(?=[<\[])(?={_ANY})"
 
 
 def escape(text: Column) -> Column:
-    return F.regexp_replace(text, rf"([<\[]/?)(\\*)({_CONTROL})", r"$1\\$2$3")
+    out = F.regexp_replace(text, rf"([<\[]/?)(\\*)({_CONTROL})", r"$1\\$2$3")
+    return F.when(text.contains("[") | text.contains("<"), out).otherwise(text)
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, rf"([<\[]/?)\\(\\*)({_CONTROL})", "$1$2$3")
+    out = F.regexp_replace(text, rf"([<\[]/?)\\(\\*)({_CONTROL})", "$1$2$3")
+    return F.when(text.contains("\\"), out).otherwise(text)
 
 
 def _by_role(role: Column, user: str, system: str, assistant: str, other: str) -> Column:
@@ -86,26 +90,39 @@ def _after_first(items: Column) -> Column:
 
 def read_turns(formatted: Column) -> Column:
     """The turns of a formatted conversation: array of (role, text)."""
-    blocks = _after_first(F.split(formatted, f"(?={_OPENS})"))
+    blocks = _after_first(F.split(formatted, rf"(?=\[)(?={_OPENS})"))
 
-    def turns(block: Column) -> Column:
-        parts = F.split(F.regexp_replace(block, f"^(?:{_OPENS})|(?:{_CLOSES})$", ""), r"\[\+\]")
-        named = block.startswith("[ROLE]")
-        role = F.when(block.startswith("[INST]"), "user").when(block.startswith("[SYS]"), "system")
-        role = role.when(block.startswith("[ANS]"), "assistant").otherwise(unescape(parts[0]))
-        texts = F.when(named, _after_first(parts)).otherwise(parts)
-        return F.transform(texts, lambda x: F.struct(role.alias("role"), unescape(x).alias("text")))
+    # Each step is bound in a struct, so that a block is split once however many turns it holds.
+    def cut(block: Column) -> Column:
+        open_, role, close = F.lit("[ROLE]"), F.lit(None).cast("string"), F.lit("[/ROLE]")
+        for sign, name, end in (("[INST]", "user", "[/INST]"), ("[SYS]", "system", "[/SYS]"), ("[ANS]", "assistant", "</s>")):
+            here = block.startswith(sign)
+            open_, role, close = (F.when(here, x).otherwise(y) for x, y in ((sign, open_), (name, role), (end, close)))
+        first = F.char_length(open_)
+        inner = F.substr(block, first + 1, F.char_length(block) - first - F.char_length(close))
+        return F.struct(role.alias("role"), F.split(inner, r"\[\+\]").alias("parts"))
 
-    return F.flatten(F.transform(blocks, turns))
+    def named(b: Column) -> Column:
+        texts = F.when(b["role"].isNull(), _after_first(b["parts"])).otherwise(b["parts"])
+        return F.struct(F.coalesce(b["role"], unescape(b["parts"][0])).alias("role"), texts.alias("texts"))
+
+    def turns(b: Column) -> Column:
+        return F.transform(b["texts"], lambda x: F.struct(b["role"].alias("role"), unescape(x).alias("text")))
+
+    return F.flatten(F.transform(F.transform(F.transform(blocks, cut), named), turns))
 
 
 def read_loss(formatted: Column, mask: Column) -> Column:
     """All text under the loss mask, unescaped; null where mask and output do not agree."""
-    found = F.filter(F.split(formatted, f"(?<={_ANY})|(?={_ANY})"), lambda x: x != "")
+    found = F.filter(F.split(formatted, _EDGE), lambda x: x != "")
     both = F.zip_with(found, mask, lambda x, m: F.struct(x.alias("text"), m.alias("m")))
-    agree = F.forall(both, lambda b: F.coalesce(F.char_length(b["text"]) == b["m"]["n"], F.lit(False)))
-    under = F.transform(F.filter(both, lambda b: b["m"]["loss"]), lambda b: unescape(b["text"]))
-    return F.when(agree, F.array_join(under, ""))
+
+    def masked(pieces: Column) -> Column:
+        agree = F.forall(pieces, lambda b: F.coalesce(F.char_length(b["text"]) == b["m"]["n"], F.lit(False)))
+        under = F.transform(F.filter(pieces, lambda b: b["m"]["loss"]), lambda b: unescape(b["text"]))
+        return F.when(agree, F.array_join(under, ""))
+
+    return F.transform(F.array(both), masked)[0]  # the pieces are cut once
 
 
 def digest(chats: DataFrame) -> DataFrame:
