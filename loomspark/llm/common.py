@@ -45,9 +45,19 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; one of our own only where none is set."""
     if set_by_cluster := spark.conf.get("spark.checkpoint.dir", None):
         return set_by_cluster
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir is unset: on a cluster it has to name a folder that all executors share")
     return _OWN.setdefault("dir", tempfile.mkdtemp(prefix="loomspark-"))
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that none of ``columns`` has, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here.
 

@@ -8,7 +8,8 @@ text's language is the one with the largest share of the posterior mass and the
 is its score.  Chains cover CHAIN consecutive words each and together the whole text.
 
 Training (``fit``) reads at most ``per_label`` documents of each label - a documented
-bound - chosen by a hash of their id.  Half of the chains are spliced from two
+bound - chosen by a hash of their id, and fewer where they are long: ``label_chars``
+bounds the characters expected of a label.  Half of the chains are spliced from two
 documents of different languages, so that the transitions learn to switch.  Weights
 start from smoothed log frequencies and follow the exact gradient of the conditional
 likelihood (AdaGrad).  Labels come from the training rows alone; a prediction reads
@@ -16,7 +17,9 @@ nothing but the text.
 
 Defined cases: null text or a text without letters is ``und`` with score 0; a tie goes
 to the first label by name; a model without labels calls everything ``und``; a null id
-is held out; repeated rows are each labelled; extra columns are not read.
+is held out; repeated rows are each labelled; extra columns are carried through, but for
+ones named as the two that ``identify`` adds, which it replaces.  Words are runs of
+letters: number signs and combining marks belong to none.
 """
 
 from __future__ import annotations
@@ -29,17 +32,39 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, release_others
+from .common import fresh, map_batches, release_others
 
 CHAIN, DIMS, GRAMS, PER_LABEL, STEPS, RATE, BLOCK_WORDS, CACHE = 64, 1 << 17, 4, 200, 25, 0.15, 1 << 16, 250_000
+LABEL_CHARS = 2_000_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 BLOCK_TYPES, BLOCK_CHAINS = 10_000, 2048
 _EMISSIONS: dict[int, tuple[dict[str, int], np.ndarray]] = {}
 
 
+def spans_of(text: str) -> list[tuple[int, int]]:
+    """[start, end) of the words of a text."""
+    found = [m.span() for m in _WORD.finditer(text)]
+    if all(text[a:b].isalpha() for a, b in found):
+        return found
+    return [(a + x, a + y) for a, b in found for x, y in _letters(text[a:b])]
+
+
+def _letters(word: str) -> list[tuple[int, int]]:
+    """The runs of letters of a word that may hold number signs."""
+    edge = np.flatnonzero(np.diff([0, *(c.isalpha() for c in word), 0])).tolist()
+    return list(zip(edge[::2], edge[1::2], strict=True))
+
+
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """The lower-case words of a text, one for each of ``spans_of``."""
+    found = _WORD.findall(text) if text else []
+    if not found:
+        return []
+    if not "".join(found).isalpha():
+        found = [w[a:b] for w in found for a, b in _letters(w)]
+    whole = "\n".join(found)
+    return whole.lower().split("\n") if whole else []
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -200,17 +225,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def fit(docs: DataFrame, label: str = "lang", per_label: int = PER_LABEL) -> Model:
-    """A model from at most about ``per_label`` training documents of each label.
+def fit(docs: DataFrame, label: str = "lang", per_label: int = PER_LABEL, label_chars: int = LABEL_CHARS) -> Model:
+    """A model from at most about ``per_label`` training documents and ``label_chars`` characters of each label.
 
     Labels are counted over all training rows; each is then thinned by a hash of the id,
     in its tasks, so that no label is gathered before it is small.
     """
     rows = docs.where(~held_out(F.col("doc_id")) & F.col(label).isNotNull() & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    counts = rows.groupBy(label).agg(F.count("*"), F.sum(F.char_length("text"))).collect()
     share = F.lit(0.0)
-    for y, n in counts.items():
-        share = F.when(F.col(label) == y, min(1.0, per_label / n)).otherwise(share)
+    for y, n, chars in counts:
+        share = F.when(F.col(label) == y, min(1.0, per_label / n, label_chars / max(1, chars))).otherwise(share)
     draw = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     picked = rows.where(draw < share).select("text", F.col(label).alias("label")).collect()
     return train(sorted((r.text, r.label) for r in picked))
@@ -267,26 +292,28 @@ def segments(text: str | None, model: Model) -> list[tuple[int, int, str]]:
     """(start, end, label) of the runs of words of one language in a code-switched text."""
     if not (w := words_of(text)) or not model.labels:
         return []
-    at = [m.span() for m in _WORD.finditer(text.lower())]
+    at = spans_of(text)
     best = _posteriors(model, [w])[0].argmax(axis=1)
     edge = [0, *(np.flatnonzero(np.diff(best)) + 1).tolist(), len(best)]
     return [(at[a][0], at[b - 1][1], model.labels[best[a]]) for a, b in zip(edge, edge[1:], strict=False)]
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score; all columns stay."""
+def identify(docs: DataFrame, model: Model, added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with lang_pred and score; all other columns stay."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    at, names = docs.columns.index("text"), [*docs.columns, "lang_pred", "score"]
+    docs = docs.select([c for c in docs.columns if c.lower() not in added])
+    at, names = docs.columns.index("text"), [*docs.columns, *added]
 
     def label(batch: pa.RecordBatch) -> pa.RecordBatch:
         labels, scores = predict(batch.column(at).to_pylist(), sent.value)
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_batches(docs, label, f"{schema}, lang_pred string, score double")
+    return map_batches(docs, label, f"{schema}, `{added[0]}` string, `{added[1]}` double")
 
 
 def reject(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
     """The documents with a language that holds at least ``least`` of the text."""
-    kept = identify(docs, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    added = fresh("lang_pred", docs.columns), fresh("score", docs.columns)
+    kept = identify(docs, model, added).where((F.col(added[0]) != UNKNOWN) & (F.col(added[1]) >= least))
     return kept.select(docs.columns)

@@ -50,17 +50,45 @@ def test_code_switched_text():
     assert [(text[a:b], y) for a, b, y in L.segments(text, m)] == [("Baba dodo lumi basta doma", "xx"), ("KRÄX trüz zkorn xylt prüm", "yy")]
 
 
+def test_words_are_runs_of_letters():
+    m = L.train([(t, y) for _, t, y, _ in corpus(80) if t and y])
+    assert L.predict(["½ ² Ⅷ", "12 ३ _", "", None], m) == (["und"] * 4, [0.0] * 4)
+    assert L.words_of("a²b ½x Ⅷ") == ["a", "b", "x"] and L.words_of("ÉTÉ İİ") == ["été", "i̇i̇"]
+    text = "İstanbul İİ baba"
+    assert [(text[a:b]) for a, b in L.spans_of(text)] == ["İstanbul", "İİ", "baba"]
+    assert all(0 <= a < b <= len(text) for a, b, _ in L.segments(text, m)) and L.segments(text, m)[-1][1] == len(text)
+
+
+def test_prediction_equals_enumeration():
+    """The label and score of short texts against a sum over all label paths."""
+    m = L.train([(t, y) for _, t, y, _ in corpus(80) if t and y])
+    for text in ("baba", "baba kräx", "dodo trüz prüm lumi", "neu worte baba xylt"):
+        emit = m.emissions(L.words_of(text)).astype(float)
+        mass, total = np.zeros(len(m.labels)), 0.0
+        for path in itertools.product(range(len(m.labels)), repeat=len(emit)):
+            v = np.exp(sum(emit[k, y] for k, y in enumerate(path)) + sum(m.trans[a, b] for a, b in zip(path, path[1:], strict=False)))
+            total += v
+            for y in path:
+                mass[y] += v / len(emit)
+        (label,), (score,) = L.predict([text], m)
+        assert label == m.labels[int(mass.argmax())] and np.isclose(score, mass.max() / total)
+
+
 def test_documents(spark):
+    """A column that has the name of an added one is replaced by ``identify`` and kept by ``reject``."""
     rows = corpus(300)
-    docs = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("score", "other")
+    docs = spark.createDataFrame(rows, SCHEMA)
     out = L.identify(docs, L.fit(docs, per_label=50)).collect()
+    assert out[0].__fields__ == ["doc_id", "text", "lang", "lang_pred", "score"]
     assert len(out) == len(rows)
     told = {r.doc_id: r for r in out}
     held = [r for r in out if r.doc_id is not None and r.doc_id < 300 and zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
     assert len(held) > 50 and all(r.lang_pred == r.lang for r in held if r.lang) and all(0 <= r.score <= 1 for r in out)
     assert told[300].lang_pred == told[301].lang_pred == "und" and told[302].lang_pred == "xx"
     kept = L.reject(docs, L.fit(docs, per_label=50))
-    assert kept.columns == docs.columns and kept.count() == len(rows) - 2
+    assert kept.columns == docs.columns and kept.count() == len(rows) - 2 and {r.score for r in kept.collect()} == {"s", None}
+    bounded = L.fit(docs, label_chars=200)
+    assert len(bounded.labels) <= 2
 
 
 def test_no_labels(spark):
