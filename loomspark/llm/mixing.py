@@ -21,7 +21,8 @@ broadcast up to MAX_SOURCES; more are joined by a shuffle, each source dealt ove
 Defined cases: a null source is a source; null or word-less texts have no tokens and
 come with every whole block and with their place in the last one; a source without
 tokens has weight 0 and each of its documents comes once; repeated ids stand and fall
-together; an empty table gives an empty result; extra columns stay.
+together; an empty table gives an empty result; extra columns stay, whatever their
+names, but for ones named as the two that ``realise`` adds, which it replaces.
 """
 
 from __future__ import annotations
@@ -117,6 +118,7 @@ def weights(
 def realise(docs: DataFrame, weighted: DataFrame, seed: str = SEED) -> DataFrame:
     """``docs`` as often as the budgets say, with ``block``, which permutation a row is from, and ``place``:
     the order of ``place`` and doc_id within a source's block is its permutation."""
+    names, docs = docs.columns, docs.toDF(*(c if c in ("doc_id", "source", "text") else f"_c{k}" for k, c in enumerate(docs.columns)))
     plan = weighted.withColumn("blocks", F.when(F.col("t") > 0, F.floor(F.col("budget") / F.col("t"))).otherwise(1))
     plan = plan.select("source", "n", "blocks", (F.col("budget") - F.col("blocks") * F.col("t")).alias("left"))
     rows = plan.limit(MAX_SOURCES + 1).collect()
@@ -162,4 +164,12 @@ def realise(docs: DataFrame, weighted: DataFrame, seed: str = SEED) -> DataFrame
     times = F.col("blocks") + (F.coalesce(inside, F.lit(False)) & (F.col("left") > 0)).cast("long")
     out = out.withColumn("_times", times.cast("int")).where("_times > 0")
     out = out.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
-    return out.select(*docs.columns, "block", _draw(F.col("block"), F.col("doc_id"), seed).alias("place"))
+    kept = [F.col(c).alias(name) for c, name in zip(docs.columns, names, strict=True) if name.lower() not in ("block", "place")]
+    return out.select(*kept, "block", _draw(F.col("block"), F.col("doc_id"), seed).alias("place"))
+
+
+def mix(docs: DataFrame, total: int | str = "same", **kw) -> DataFrame:
+    """The mix itself, with the columns of ``docs`` and no others."""
+    numbered = docs.toDF(*(c if c in ("doc_id", "source", "text") else f"_x{k}" for k, c in enumerate(docs.columns)))
+    mixed = realise(numbered, weights(docs.select("source", "text"), total, **kw)).select(numbered.columns)
+    return mixed.toDF(*docs.columns)

@@ -78,7 +78,7 @@ def brute(rows, total, entropy, max_repeats):
 def test_rows_equal_brute_force(spark, monkeypatch, total, shares):
     monkeypatch.setattr(M, "PER_RANGE", 40)
     rows = corpus(len(shares), shares) + [(10_000, "", "empty", None, None), (10_001, " ", "empty", None, None)]
-    docs = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("block", "other")
+    docs = spark.createDataFrame(rows, SCHEMA)
     weighted = M.weights(docs, total)
     got = M.realise(docs, weighted).collect()
     assert sorted(str((r.doc_id, r.source, r.block)) for r in got) == brute(rows, total, M.ENTROPY, M.MAX_REPEATS)
@@ -90,6 +90,10 @@ def test_rows_equal_brute_force(spark, monkeypatch, total, shares):
     biggest = 8
     assert all(w[s].budget - 2 * biggest <= taken[s] <= w[s].budget for s in w if w[s].t)
     assert all(w[s].budget <= M.MAX_REPEATS * w[s].t for s in w if w[s].t)
+    assert got[0].__fields__ == ["doc_id", "text", "source", "t", "block", "place"]  # the table's own block is replaced
+    mixed = M.mix(docs, total)
+    assert mixed.columns == docs.columns and sorted(r.doc_id for r in mixed.collect()) == sorted(r.doc_id for r in got)
+    assert {r.block for r in mixed.collect()} <= {"clash", None}
     if total == "cover":
         assert {r[0] for r in rows} == {r.doc_id for r in got}
 
@@ -122,7 +126,7 @@ def test_every_block_is_a_permutation_of_its_own(spark):
 @pytest.mark.parametrize("total", ["same", "cover"])
 def test_more_sources_than_are_broadcast(spark, monkeypatch, total):
     rows = corpus(3, {"a": 300, "b": 60, "c": 50, "d": 12, None: 40}) + [(10_000, "", "empty", None, None)]
-    docs = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("block", "other")
+    docs = spark.createDataFrame(rows, SCHEMA)
     monkeypatch.setattr(M, "PER_RANGE", 40)
     want = sorted(map(str, M.realise(docs, M.weights(docs, total)).collect()))
     monkeypatch.setattr(M, "MAX_SOURCES", 3)
