@@ -10,8 +10,8 @@ text is the n-th word of the original, which maps hits to original offsets.
 
 Defined cases: a null or word-less text has no words and no hits; items without
 words or without an id are ignored; two rows of one id are one item; an empty
-benchmark hits nothing; repeated documents are each reported; columns of other names
-are carried through ``decontaminate`` untouched.
+benchmark hits nothing; repeated documents are each reported; ``decontaminate`` carries
+all columns through untouched, whatever their names.
 
 The automaton is broadcast in blocks of at most ``block_bytes`` of pattern text, so
 what is sent never grows with the documents and its size is checked: a larger
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, release_others
+from .common import fresh, map_batches, materialize, release_others
 
 _TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256)
@@ -89,24 +89,24 @@ def scan(a: ahocorasick.Automaton, w: list[bytes]) -> list[tuple[int, int, tuple
     return [(int(k) - n + 1, int(k), ids) for k, (_, (n, ids)) in zip(last, found, strict=True)]
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 8, block_bytes: int = 32 << 20) -> DataFrame:
-    """``docs`` with ``_hits``: every occurrence of a window, as word numbers and items."""
+def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 8, block_bytes: int = 32 << 20, into: str = "_hits") -> DataFrame:
+    """``docs`` with a column ``into``: every occurrence of a window, as word numbers and items."""
     rows = (
         (r[0], r[1])
         for r in benchmark.select("item_id", "text").where("item_id is not null").toLocalIterator()
     )
-    spark, out = docs.sparkSession, docs.withColumn("_hits", F.lit(None).cast(HITS))
+    spark, out = docs.sparkSession, docs.withColumn(into, F.lit(None).cast(HITS))
     first = True
     for block in pattern_blocks(rows, window, block_bytes):
         if not first:
             out = materialize(out, "hits")
-        out, first = _pass(out, spark.sparkContext.broadcast(block)), False
+        out, first = _pass(out, spark.sparkContext.broadcast(block), into), False
     return out
 
 
-def _pass(docs: DataFrame, sent) -> DataFrame:
+def _pass(docs: DataFrame, sent, name: str) -> DataFrame:
     key = sent._jbroadcast.id() if sent._jbroadcast is not None else id(sent)
-    at, into = docs.columns.index("text"), docs.columns.index("_hits")
+    at, into = docs.columns.index("text"), docs.columns.index(name)
     hits = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("items", pa.list_(pa.string()))]))
 
     def hit(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -119,7 +119,7 @@ def _pass(docs: DataFrame, sent) -> DataFrame:
         for text, before in zip(batch.column(at), batch.column(into), strict=True):
             now = [{"first": i, "last": j, "items": list(ids)} for i, j, ids in scan(a, words(text.as_py()))]
             found.append((before.as_py() or []) + now if now or before.is_valid else None)
-        return batch.set_column(into, "_hits", pa.array(found, hits))
+        return batch.set_column(into, name, pa.array(found, hits))
 
     return map_batches(docs, hit, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
 
@@ -172,6 +172,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_it
 
     No join: each row is judged where it is read, so repeated ids are no matter.
     """
-    items = F.array_distinct(F.flatten(F.col("_hits.items")))
-    out = find_hits(docs, benchmark, window, **kw)
-    return out.where(F.col("_hits").isNull() | (F.size(items) < min_items)).drop("_hits")
+    hits = fresh("_hits", docs.columns)
+    items = F.array_distinct(F.flatten(F.col(f"{hits}.items")))
+    out = find_hits(docs, benchmark, window, into=hits, **kw)
+    return out.where(F.col(hits).isNull() | (F.size(items) < min_items)).select(docs.columns)

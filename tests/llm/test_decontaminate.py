@@ -67,6 +67,8 @@ def test_filter_keeps_rows_and_columns(spark):
     kept = D.decontaminate(docs, bench)
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "3", "4", "5", "None"]
+    clash = D.decontaminate(docs.withColumn("_HITS", docs.doc_id), bench)
+    assert clash.columns == [*docs.columns, "_HITS"] and all(r._HITS == r.doc_id for r in clash.collect()) and clash.count() == 5
 
 
 def test_empty_tables(spark):
