@@ -25,8 +25,9 @@ Components: minimum label with pointer jumping over tables in the shared folder.
 
 Defined cases: null texts and texts without words have the empty set and link with
 nothing; a shorter text's only shingle is all its words; a null doc_id is linked with
-nothing and its component is null; rows that repeat an id are one node; extra columns
-are not read; an empty table gives an empty result.
+nothing and its component is null; rows that repeat an id are one document, whose sets
+are linked with each other where they differ, and ``deduplicate`` keeps one of them;
+extra columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -222,7 +223,11 @@ def _groups(docs: DataFrame) -> DataFrame:
         full.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.min(F.struct("n_shingles", "sig", "bands")).alias("_s"))
         .select("set_hash", "node", "_s.*"), "nodes",
     )
-    # Two different sets of one repeated id are one node: links to either count for it.
+    # Different sets of one repeated id are one document: what links to either is linked.
+    several = materialize(full.groupBy("doc_id").agg(F.min("set_hash").alias("_a"), F.max("set_hash").alias("_b")).where("_a < _b").select("doc_id"), "several")
+    own = full.join(several, "doc_id", "left_semi").select("doc_id", "set_hash").join(nodes.select("set_hash", "node"), "set_hash")
+    own = own.join(own.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").where("a < node")
+    own = materialize(own.select("a", F.col("node").alias("b")).distinct(), "own") if several.limit(1).count() else None
     bands = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     hubs = materialize(
         bands.groupBy("key").agg(F.count("*").alias("n"), _hub(F.xxhash64("node", F.col("band") % 4)).alias("hub")).where("n > 1"),
@@ -236,6 +241,7 @@ def _groups(docs: DataFrame) -> DataFrame:
     best = pairs.select(F.col("b").alias("node"), "a", "b", "shared").union(pairs.select(F.col("a").alias("node"), "a", "b", "shared"))
     first = best.groupBy("node").agg(F.max_by(F.struct("a", "b"), "shared").alias("_p")).select("_p.*").distinct()
     edges = materialize(_verified(_pruned(first, nodes), sets), "edges")
+    edges = edges if own is None else edges.union(own)
     comp = components(edges)
     # Then its other hubs, and in buckets still apart the node that meets most others.
     apart = _open(met, comp)
@@ -362,6 +368,18 @@ def _sets(docs: DataFrame, nodes: DataFrame, met: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one of the smallest id; all columns kept."""
-    gone = find_groups(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group, the one of the smallest id; all columns kept.
+
+    Of rows with words that repeat an id one stays, the one of the smallest hash of its text.
+    """
+    groups = find_groups(docs)
+    gone = groups.where("not kept").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    again = groups.where("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1")
+    again = lasting(again.select(F.col("doc_id").alias("_again")), "again")
+    if not again.limit(1).count():
+        return kept
+    marked = kept.join(again, worded & (F.col("doc_id") == F.col("_again")), "left")
+    one = marked.where("_again is not null").groupBy("_again").agg(F.min_by(F.struct(docs.columns), F.xxhash64("text")).alias("_r"))
+    return marked.where("_again is null").select(docs.columns).unionByName(one.select("_r.*"))

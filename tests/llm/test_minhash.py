@@ -60,6 +60,17 @@ def test_deduplicate_keeps_columns(spark):
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]
 
 
+def test_repeated_ids_are_one_document(spark):
+    """An id of two texts links what is like either; of its rows one stays, and others' unique texts stay."""
+    near = " ".join(f"n{k}" for k in range(40))
+    rows = [(5, near, "a", "b"), (5, "entirely other words that stand here", "c", "d"), (1, "entirely other words that stand here", "e", "f")]
+    rows += [(7, near + " more", "g", "h"), (8, "quite unique words of one document", "i", "j"), (8, "quite unique words of one document", "i", "j"), (9, None, "k", "l"), (9, None, "k", "l")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = {(r.doc_id, r.component_id) for r in M.find_groups(docs).collect()}
+    assert found == {(1, 1), (5, 1), (7, 1), (8, 8), (9, 9)}
+    assert sorted(r.doc_id for r in M.deduplicate(docs).collect()) == [1, 8, 9, 9]
+
+
 def test_empty(spark):
     assert M.find_groups(spark.createDataFrame([], SCHEMA)).count() == 0
 
