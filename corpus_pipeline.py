@@ -31,7 +31,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are brought towards the target entropy by repeating small ones."""
-    return mixing.realise(docs, mixing.weights(docs, "cover")).drop("block", "place")
+    return mixing.mix(docs, "cover")
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
