@@ -1,3 +1,6 @@
+import os
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -28,6 +31,8 @@ def test_odd_pages():
     assert text("<article><script>if (a<b) '</article>'</script>t</article>") == "t"
     assert text("<main><article>m</article> n</main>") == "m\nn"
     assert text("<article>" + "<p>w</p>" * 30_000 + "</article>").count("\n") == 29_999
+    assert text("<p>x</p><article>one</article><div>y</div><article><p>two, longer</article><article class='teaser'>z</article>") == "one\ntwo, longer"
+    assert text(" \x00<article>a\ud800 b</article>") == "a\ud800 b"
 
 
 def test_shared_lines_go_where_structure_leaves_them_open():
@@ -52,6 +57,59 @@ def test_alignment_is_a_longest_common_subsequence(a, b):
     assert len(found) == best[-1][-1] and all(x in rest for x in found)
 
 
+def test_alignment_of_very_long_pages():
+    a = [f"line {k}" for k in range(30_000)]
+    b = ["x", *a[:9000], "y", *a[9500:], "line 3"]
+    assert H.common_lines(["z", *a], b) == {*range(1, 9001), *range(9501, 30_001)}
+
+
+def longest(a, b):
+    """Places in ``a`` of a longest common subsequence, by the whole table."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    i = j = 0
+    found = set()
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            found.add(i)
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return found
+
+
+def test_pages_without_structure_equal_brute_force(spark):
+    """Each page less the lines it shares with the neighbour whose path is most like its own.
+
+    Lines of a page differ, and shared ones stand in one order on all pages, so the longest common
+    subsequence is the only one."""
+    rng, rows = random.Random(3), []
+    for k in range(120):
+        own = [f"own line {k}.{i}" for i in range(rng.randrange(1, 6))]
+        lines = [f"shared {i}" for i in range(8) if rng.random() < 0.5]
+        for x in own:
+            lines.insert(rng.randrange(len(lines) + 1), x)
+        url = f"http://h{rng.randrange(3)}.example/{rng.choice(['a', 'ab', 'b'])}/{rng.randrange(30)}"
+        rows.append((k, url, lines))
+    pages = spark.createDataFrame([(k, u, "<body>" + "".join(f"<div>{x}</div>" for x in lines)) for k, u, lines in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.extract(pages).collect()}
+    order = sorted(rows, key=lambda r: (r[1].split("/")[2], "/" + r[1].split("/", 3)[3], r[0]))
+    for at, (k, url, lines) in enumerate(order):
+        near = []
+        for side in (at - 1, at + 1):
+            if 0 <= side < len(order) and order[side][1].split("/")[2] == url.split("/")[2]:
+                near.append((len(os.path.commonprefix([url, order[side][1]])), side < at, order[side][2]))
+        other = max(near, key=lambda x: x[:2])[2]
+        gone = longest(lines, other)
+        if sum(len(lines[i]) for i in gone) >= 0.9 * sum(map(len, lines)):
+            gone = set()
+        assert got[k] == "\n".join(x for i, x in enumerate(lines) if i not in gone)
+
+
 def test_pages(spark):
     rows = [(k, f"http://h{k % 3}.example/en/{k}?q=1#top", PAGE.replace("One", f"One{k}"), "clash") for k in range(40)]
     rows += [(100, None, PAGE, None), (101, "::bad[url", None, None), (None, "http://h0.example/en/3", "", "x"), (3, *rows[3][1:])]
