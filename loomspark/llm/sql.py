@@ -2,6 +2,20 @@
 
 ORACLE_SQL: dict[str, str] = {}
 
+# Every 400-byte window of every text by its digest; windows that occur twice are merged into spans.
+ORACLE_SQL["op1_suffix_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT r, doc_id, b, octet_length(b) AS n_bytes FROM d),
+w AS (SELECT r, i, md5(array_slice(b, i + 1, i + 400)) AS k FROM (SELECT r, b, unnest(range(0, n_bytes - 399)) AS i FROM n WHERE n_bytes >= 400)),
+c AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+m AS (SELECT r, i, (i > lag(i, 1, -1000) OVER (PARTITION BY r ORDER BY i) + 400)::INT AS new FROM w SEMI JOIN c USING (k)),
+s AS (SELECT r, g, min(i) AS a, max(i) + 400 AS e FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM m) GROUP BY r, g),
+p AS (SELECT r, a, e, lag(e, 1, 0) OVER (PARTITION BY r ORDER BY a) AS f FROM s),
+g AS (SELECT p.r, count(*) AS n_spans, sum(e - a) AS n_removed, string_agg(hex(array_slice(b, f + 1, a)), '' ORDER BY a) AS h, max(e) AS last FROM p JOIN n ON n.r = p.r GROUP BY p.r)
+SELECT doc_id, n_bytes::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(CASE WHEN g.r IS NULL THEN b ELSE unhex(h || hex(array_slice(b, last + 1, n_bytes))) END) AS kept_sha256 FROM n LEFT JOIN g ON g.r = n.r
+"""
+
 ORACLE_SQL["op5_decontaminate"] = r"""
 WITH d AS (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
