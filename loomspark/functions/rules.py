@@ -1,8 +1,11 @@
 """Ordered rewriting rules as data: one table gives a Spark expression and, for checks, DuckDB SQL.
 
-Patterns are matched with Unicode word characters and white space.  Every rule maps a
-string to a string and null to null, so a chain is one projection that Catalyst keeps
-inside code generation.
+Patterns are written with ``\\b``, ``\\w``, ``\\s`` and ``\\d`` and mean by them what Python
+does: word signs are letters, numbers of any kind and ``_``, but no combining marks, and a
+boundary lies between these and all others.  Java's own classes differ beside fraction
+signs, subscripts and marks, so ``java`` spells them out.  Every rule maps a string to a
+string and null to null, so a chain is one projection that Catalyst keeps inside code
+generation.
 """
 
 from __future__ import annotations
@@ -13,6 +16,35 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import similarity
+
+
+_WORD = r"\p{L}\p{N}_"
+_SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_CLASSES = {"w": _WORD, "s": _SPACE, "d": r"\p{Nd}"}
+
+
+def java(pattern: str) -> str:
+    """A pattern in Java's spelling, with Python's word signs, white space, digits and boundaries."""
+    out, k, inside = [], 0, False
+    while k < len(pattern):
+        c, two = pattern[k], pattern[k : k + 2]
+        if c == "\\":
+            k += 2
+            name = two[1]
+            if name == "b" and not inside:
+                two = f"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))"
+            elif name in _CLASSES:
+                two = _CLASSES[name] if inside else f"[{_CLASSES[name]}]"
+            elif name.lower() in _CLASSES and not inside:
+                two = f"[^{_CLASSES[name.lower()]}]"
+            out.append(two)
+            continue
+        inside = c == "[" or inside and c != "]"
+        out.append(c)
+        k += 1
+    return "".join(out)
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -36,7 +68,7 @@ class Sub(Rule):
     ignore_case: bool = False
 
     def column(self, c: Column) -> Column:
-        return F.regexp_replace(c, ("(?iU)" if self.ignore_case else "(?U)") + self.pattern, self.to)
+        return F.regexp_replace(c, ("(?iu)" if self.ignore_case else "") + java(self.pattern), self.to)
 
     def sql(self, x: str) -> str:
         to = self.to.replace("\\", "\\\\").replace("$", "\\")
@@ -80,6 +112,17 @@ class Lower(Rule):
         return f"lower({x})"
 
 
+@dataclass(frozen=True)
+class Compose(Rule):
+    """Letters and their marks as single signs (NFC)."""
+
+    def column(self, c: Column) -> Column:
+        return similarity.nfc(c)
+
+    def sql(self, x: str) -> str:
+        return f"nfc_normalize({x})"
+
+
 def apply(c: Column, rules: Sequence[Rule]) -> Column:
     for rule in rules:
         c = rule.column(c)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rules import Chars, Lower, Rule, Sub, Text, apply
+from .rules import Chars, Compose, Lower, Rule, Sub, Text, apply
 
 # Fraction signs and the decimal texts that stand for them.
 FRACTIONS = {
@@ -84,7 +84,7 @@ SIGNS_TO_DECIMAL: list[Rule] = [
 ROUGH: list[Rule] = [
     *SUBSCRIPTS, *H_DOT, *GAPS_ONE_SPACED, Chars("[](){}⸢⸣⌈⌉˹˺"), Sub(r"\s+", " "), Sub(r"^ | $", ""), Lower()
 ]
-SON_OF: list[Rule] = [Sub(r"\bs\. ", "son of ")]
+SON_OF: list[Rule] = [Sub(r"\bs\.\s", "son of ")]
 SHEQEL: list[Rule] = [Sub("sheqel", "shekel", True)]
 SIC: list[Rule] = [Sub(r"\s*\{sic\}\s*", " "), Sub(r"\s*\(sic\)\s*", " "), Sub(r"\bsic\b", ""), *WHITESPACE]
 TABLET_ID: list[Rule] = [Sub(r"_part\d+$", ""), Text(","), Sub(r"\s+", " "), Sub(r"^ | $", "")]
@@ -97,8 +97,8 @@ TIDY: list[Rule] = [*DECIMAL_TO_FRACTIONS, *SLASH_FRACTIONS, *PUNCTUATION, *WHIT
 BASIC: list[Rule] = [*FRACTIONS_TO_DECIMAL, *SUBSCRIPTS, *H_DOT, *GAP_MARKS]
 POSTPROCESS: list[Rule] = [*QUOTES, *PARENTHESES, *APOSTROPHES, *GAPS_ONE, *GAP_SPACING, *PUNCTUATION, *WHITESPACE]
 V2: list[Rule] = [*SUBSCRIPTS, *GAPS_ONE_HYPHEN]
-SOURCE_CHARS: list[Rule] = [Chars(*SOURCE_LETTERS[0]), Text("ᵈ", "{d}"), *GAPS_ONE_SPACED, Chars(*SOURCE_LETTERS[1])]
-TARGET_CHARS: list[Rule] = [Chars(*TARGET_LETTERS[0]), *GAPS_ONE_SPACED, Chars(*TARGET_LETTERS[1])]
+SOURCE_CHARS: list[Rule] = [Compose(), Chars(*SOURCE_LETTERS[0]), Text("ᵈ", "{d}"), *GAPS_ONE_SPACED, Chars(*SOURCE_LETTERS[1])]
+TARGET_CHARS: list[Rule] = [Compose(), Chars(*TARGET_LETTERS[0]), *GAPS_ONE_SPACED, Chars(*TARGET_LETTERS[1])]
 
 
 def source_rules(keep_half_brackets: bool = False) -> list[Rule]:
@@ -187,7 +187,10 @@ def fraction_decimal(num: Column, den: Column) -> Column:
 
 
 def normalize_ocr(c: Column) -> Column:
-    """OCR transliterations brought to the form of published ones."""
+    """OCR transliterations brought to the form of published ones.
+
+    The patterns are fixed values, in this order.
+    """
     digits = "[" + _DIGITS[0] + r"\d]+"
     parts = F.regexp_extract_all(c, F.lit(f"(?s){digits}/{digits}|(?:(?!{digits}/{digits}).)"), 0)
 

@@ -84,8 +84,7 @@ def weighted_sample(rows: DataFrame, weight: str, n: int, seed: int, key: str, r
     Weights are accumulated inside hash ranges of the key and over the ranges' sums, so
     no task sorts all rows; a draw falls into a range first and into a row there.
     """
-    r = F.pmod(F.xxhash64(key), F.lit(ranges))
-    rows = rows.withColumn("_r", r)
+    rows = rows.withColumn("_r", R.integer(ranges, f"{seed}range", F.col(key)))
     sums = rows.groupBy("_r").agg(F.sum(weight).alias("_w"))
     upto = F.sum("_w").over(Window.orderBy("_r"))
     sums = sums.select("_r", (upto - F.col("_w")).alias("_from"), upto.alias("_to"))

@@ -19,6 +19,7 @@ from ..functions import text as X
 from ..operators import assembly, dedup, evaluation, filters, generation, linkage, nearest, segments, slots, training
 from ..sources import markup, responses
 from ..streaming import resume
+from . import fixtures, oracles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -157,6 +158,17 @@ for _name, _rules in _CHAINS.items():
     _chain(_name, _rules)
 
 
+@query("text_fixtures", fixtures.sql())
+def _(spark, d):
+    """Rules against outputs written by hand."""
+    cases = F.inline(F.array(*[F.struct(F.lit(k).alias("n"), F.lit(rule).alias("rule"), F.lit(text).alias("text")) for k, (rule, text, _) in enumerate(fixtures.CASES)]))
+    rows, out = spark.range(1).select(cases), None
+    for name, chain in fixtures.CHAINS.items():
+        done = X.normalize(F.col("text"), chain)
+        out = F.when(F.col("rule") == name, done) if out is None else out.when(F.col("rule") == name, done)
+    return rows.select("n", "rule", out.alias("out"))
+
+
 @query("text_ocr")
 def _(spark, d):
     lead = "¹/₂ ma-na 1 2/3 GÍN dEN-líl Pu-šu=ke lu!? *a-na <<x>> <ma> a / b "
@@ -237,10 +249,10 @@ _R1 = f"CASE WHEN {_ONCE.format(x='text', f=' the ')} THEN replace(text, ' the '
 _R2 = f"CASE WHEN {_ONCE.format(x='x', f=' a ')} THEN replace(x, ' a ', ' one ') ELSE x END"
 
 
-@query("apply_repairs", f"""WITH a AS (SELECT doc_id, {_R1} AS x, ({_ONCE.format(x="text", f=" the ")})::INT AS e FROM documents WHERE text IS NOT NULL),
+@query("apply_repairs", f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), a AS (SELECT doc_id, {_R1} AS x, ({_ONCE.format(x="text", f=" the ")})::INT AS e FROM d),
   b AS (SELECT doc_id, {_R2} AS corrected, e + ({_ONCE.format(x="x", f=" a ")})::INT AS edits FROM a) SELECT doc_id, corrected, edits, 2 - edits AS warnings FROM b""")
 def _(spark, d):
-    docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.col("text").alias("tr"))
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("tr"))
     steps = F.inline(F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(a).alias("find"), F.lit(b).alias("replace")) for k, (a, b) in enumerate([(" the ", " a "), (" a ", " one ")])]))
     return linkage.apply_repairs(docs, docs.select("doc_id", steps), "doc_id").select("doc_id", "corrected", "edits", "warnings")
 
@@ -264,7 +276,7 @@ def _(spark, d):
 
 @query("keyed_fuzzy")
 def _(spark, d):
-    turns = table(spark, d, "conversations").where("role = 'user'")
+    turns = table(spark, d, "conversations")
     rows = turns.select(F.col("conv_id").alias("id"), F.col("turn").alias("ord"), "text", F.pmod("turn", F.lit(3)).cast("int").alias("n_high"))
     return dedup.keyed_fuzzy(rows).select("id", "ord")
 
@@ -332,7 +344,8 @@ def _(spark, d):
     return segments.split_at_low(rows).select("id", "pos", "segment")
 
 
-@query("window_copies")
+@query("window_copies", f"""WITH RECURSIVE {_PAIRS}, lines AS (SELECT conv_id AS id, list(t ORDER BY turn) AS ts, list(tr ORDER BY turn) AS trs FROM pairs GROUP BY conv_id), {oracles.windows("lines", 3, 7, 900)}
+SELECT id, 0 AS segment, copy::INT AS copy, win AS "window", n_lines FROM merged WHERE trim(t) <> '' AND trim(tr) <> ''""")
 def _(spark, d):
     rows = pairs(spark, d).select(F.col("conv_id").alias("id"), F.lit(0).alias("segment"), "turn", "t", "tr")
     lines = segments.ordered_lines(rows, "id", "turn").withColumn("segment", F.lit(0))
@@ -427,7 +440,7 @@ def _(spark, d):
     return assembly.class_weights(_preferences(spark, d))
 
 
-@query("weighted_sample")
+@query("weighted_sample", oracles.weighted("orders", "o_orderkey", "o_totalprice", 500, 11, 1024))
 def _(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
     return assembly.weighted_sample(rows, "o_totalprice", 500, 11, "o_orderkey").select("draw", "o_orderkey")
@@ -471,12 +484,12 @@ def _(spark, d):
     return generation.targets(table(spark, d, "documents"), "lang", 300)
 
 
-@query("stratified_seeds")
+@query("stratified_seeds", oracles.stratified(ORACLE_SQL["stratum_targets"], "lang", "source", "doc_id", "documents", 4))
 def _(spark, d):
     return generation.stratified(table(spark, d, "documents"), "lang", "source", "doc_id", 300, 4).select("lang", "doc_id")
 
 
-@query("draw_amounts")
+@query("draw_amounts", f"""WITH draws AS (SELECT c_custkey AS draw, ['silver', 'tin', 'copper', 'textiles', 'barley'][c_custkey % 5 + 1] AS commodity FROM customer), {oracles.amounts("draws", 21)}""")
 def _(spark, d):
     names = F.array(*[F.lit(c) for c in ("silver", "tin", "copper", "textiles", "barley")])
     draws = table(spark, d, "customer").select(F.col("c_custkey").alias("draw"), F.get(names, F.pmod("c_custkey", F.lit(5)).cast("int")).alias("commodity"))
@@ -527,7 +540,8 @@ def _(spark, d):
 # -- evaluation and training -----------------------------------------------------
 
 
-@query("corpus_score")
+@query("corpus_score", f"""WITH {_PAIRS}, rows_ AS (SELECT conv_id || '/' || turn AS id, t AS hyp, tr AS ref FROM pairs), {oracles.scores("rows_", "0")}
+SELECT round(bleu, 6) AS bleu, round(chrf, 6) AS chrf, round(sqrt(bleu * chrf), 6) AS score FROM scored""")
 def _(spark, d):
     rows = pairs(spark, d).select(F.col("t").alias("hyp"), F.col("tr").alias("ref"))
     return evaluation.corpus_score(rows).select(*[F.round(c, 6).alias(c) for c in ("bleu", "chrf", "score")])
@@ -546,9 +560,12 @@ def _(spark, d):
     return segments.round_trip(p, kept, ("t", "tr"))
 
 
-@query("select_by_agreement")
+@query("select_by_agreement", f"""WITH rows_ AS (SELECT struct_pack(g := a.conv_id, x := a.turn, y := b.turn) AS id, a.text AS hyp, b.text AS ref FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn <> b.turn),
+{oracles.scores("rows_", "id")}, mean AS (SELECT id.g AS g, id.x AS x, avg(bleu * chrf) AS s FROM scored GROUP BY ALL),
+every AS (SELECT conv_id AS group_id, turn AS option, coalesce(s, 0) AS score FROM conversations LEFT JOIN mean ON g = conv_id AND x = turn)
+SELECT group_id, option, round(score, 6) AS score FROM every QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY score DESC, option) = 1""")
 def _(spark, d):
-    options = table(spark, d, "conversations").where("role = 'user'").select(F.col("conv_id").alias("group_id"), F.col("turn").alias("option"), "text")
+    options = table(spark, d, "conversations").select(F.col("conv_id").alias("group_id"), F.col("turn").alias("option"), "text")
     return evaluation.select_by_agreement(options).select("group_id", "option", F.round("score", 6).alias("score"))
 
 
@@ -573,7 +590,9 @@ def _(spark, d):
     return rows.select("t", F.size("variants").cast("long").alias("n_variants"), F.get("variants", F.lit(0))["prob"].alias("top"))
 
 
-@query("swap_names")
+@query("swap_names", f"""WITH {_PAIRS}, w AS (SELECT conv_id || '/' || turn AS id, list_filter(string_split_regex(t, '\\s+'), lambda x: x <> '') AS a, list_filter(string_split_regex(tr, '\\s+'), lambda x: x <> '') AS b FROM pairs)
+SELECT id, array_to_string(CASE WHEN len(b) > 0 THEN list_transform(a, lambda x: CASE WHEN lower(x) = lower(a[1]) THEN 'a-šùr' ELSE x END) ELSE a END, ' ') AS t,
+  array_to_string(CASE WHEN len(b) > 0 THEN list_prepend('Aššur', b[2:]) ELSE b END, ' ') AS tr FROM w""")
 def _(spark, d):
     p = pairs(spark, d).select(F.concat_ws("/", "conv_id", "turn").alias("id"), "t", "tr")
     first = lambda c: F.get(X.words(F.col(c)), F.lit(0))
@@ -596,7 +615,7 @@ def _(spark, d):
 
 @query("parse_responses", """SELECT event_id, (props->>'n')::INT AS n FROM events WHERE props IS NOT NULL""".replace("'n'", "'k'"))
 def _(spark, d):
-    events = table(spark, d, "events").where("props is not null")
+    events = table(spark, d, "events")
     said = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Here: ```json ["), "props", F.lit("] ```"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("[ broken "), "props", F.lit(", ]")))
     rows = events.select("event_id", said.otherwise(F.concat(F.lit("[[bad "), "props")).alias("response"))
     return responses.parse(rows, "k int", ("k",)).select("event_id", F.inline("items")).select("event_id", F.col("k").alias("n"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.linkage import last_by
 
@@ -26,13 +28,42 @@ def optional_jsonl(spark: SparkSession, path: str, schema: StructType | str) ->
 
 
 def tagged_jsonl(spark: SparkSession, paths: dict[str, str], schema: StructType | str) -> DataFrame:
-    """Several files in one scan, each row with the tag of its file."""
-    rows = spark.read.schema(schema).json(list(paths.values())).withColumn("_file", F.input_file_name())
-    tag = None
-    for name, path in paths.items():
-        hit = F.contains("_file", F.lit(path.rstrip("/").rsplit("/", 1)[-1]))
-        tag = F.when(hit, name) if tag is None else tag.when(hit, name)
-    return rows.withColumn("mode", tag).drop("_file")
+    """Several files, each row with the tag of its file; files of one name in several folders are told apart."""
+    tagged = [optional_jsonl(spark, path, schema).withColumn("mode", F.lit(name)) for name, path in paths.items()]
+    return reduce(DataFrame.unionByName, tagged)
+
+
+def quality_by_mode(rows: DataFrame, quality: str = "match_quality") -> DataFrame:
+    """mode, quality, n of a tagged scan."""
+    return rows.groupBy("mode", quality).agg(F.count("*").alias("n"))
+
+
+def labelled_jsonl(spark: SparkSession, path: str, label: str, schema: StructType | str) -> DataFrame:
+    """One file under one tag."""
+    return tagged_jsonl(spark, {label: path}, schema)
+
+
+def dictionary_pairs(spark: SparkSession, path: str, t: str = "mt_transliteration", tr: str = "mt_translation") -> DataFrame:
+    """Pairs (t, tr) of a dictionary's rows, both sides trimmed; rows without one are left out."""
+    side = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+    rows = optional_jsonl(spark, path, f"`{t}` string, `{tr}` string")
+    return rows.select(side(t).alias("t"), side(tr).alias("tr")).where("t <> '' and tr <> ''")
+
+
+def key_values(spark: SparkSession, path: str, key: str = "oare_id", value: str = "translation") -> DataFrame:
+    """key, value of a CSV file: of rows that repeat a key the last in the file."""
+    rows = csv(spark, path).select(F.col(key).alias("key"), F.col(value).alias("value"), F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()).alias("_at"))
+    return last_by(rows.where("key is not null"), ["key"], "_at").select("key", "value")
+
+
+def resumable(spark: SparkSession, path: str, schema: StructType | str, key: str = "batch_index") -> tuple[DataFrame, DataFrame]:
+    """(rows, done keys) of a run so far; a file with a broken line counts as none, so that the run starts over."""
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    found = optional_jsonl(spark, path, StructType([*kind.fields, StructField("_corrupt_record", StringType())]))
+    names = [f.name for f in kind.fields]
+    broken = found.select(*names, "_corrupt_record").where("_corrupt_record is not null").limit(1).count() if found.columns else 0
+    rows = spark.createDataFrame([], kind) if broken else found.select(names)
+    return rows, rows.select(key).where(F.col(key).isNotNull()).distinct()
 
 
 def write_jsonl(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:

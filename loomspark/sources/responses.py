@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import dedup
 from ..session import ship_package
 
 # The lines around a response's JSON, newer form first.
@@ -86,13 +87,20 @@ def recover(text: str | None, required: tuple[str, ...], depth: int = 2) -> list
 def parse(responses: DataFrame, schema: str, required: tuple[str, ...], column: str = "response", depth: int = 2) -> DataFrame:
     """``responses`` with ``items``: an array of structs of ``schema``; unparsable ones have none."""
     ship_package(responses.sparkSession)
+    kind = f"array<struct<{schema}>>"
+    # What is one array, alone or in a frame or fence, is read here; the rest is recovered.
+    fenced = r"(?:```(?:json)?\s*)?(\[.*\])(?:\s*```)?"
+    whole = [rf"(?s)^\s*{fenced}\s*$", *[rf"(?s)^[^\[\{{]*\Q{a}\E\s*{fenced}\s*\Q{b}\E" for a, b in FRAMES]]
+    text = F.col(column)
+    direct = F.coalesce(*[F.from_json(F.regexp_extract(text, p, 1), kind, {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}) for p in whole])
+    direct = F.when(F.forall(direct, lambda x: x.isNotNull()), direct)
 
     @F.pandas_udf(T.StringType())
     def found(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: json.dumps([x for x in recover(t, required, depth) if isinstance(x, dict)], ensure_ascii=False))
 
-    items = F.from_json(found(F.col(column)), f"array<struct<{schema}>>")
-    return responses.withColumn("items", F.coalesce(items, F.array().cast(f"array<struct<{schema}>>")))
+    items = F.from_json(found(F.when(direct.isNull(), text)), kind)
+    return responses.withColumn("items", F.coalesce(direct, items, F.array().cast(kind)))
 
 
 def first_array(c: Column, schema: str) -> Column:
@@ -100,6 +108,12 @@ def first_array(c: Column, schema: str) -> Column:
     return F.from_json(F.regexp_extract(c, r"(?s)(\[.*\])", 1), f"array<struct<{schema}>>")
 
 
+def distinct_attestations(entries: DataFrame) -> DataFrame:
+    """The rows of ``attestations``, one for each source reference and beginning of text, the first in order."""
+    rows = attestations(entries).withColumn("ord", F.struct("chunk", "entry_pos", "sense_pos", "pos"))
+    return dedup.attestations(rows.withColumn("t", F.col("raw_transliteration"))).drop("ord", "t")
+
+
 def demultiplex(parsed: DataFrame, expected: DataFrame, batch: str = "batch", key: str = "id") -> DataFrame:
     """Expected ids with their item, or null; the only id of a batch takes an item without one."""
     one = parsed.select(batch, F.explode("items").alias("item")).withColumn("_id", F.col(f"item.{key}"))
