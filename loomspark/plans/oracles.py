@@ -28,10 +28,15 @@ def scores(rows: str, by: str) -> str:
     """CTEs up to ``scored`` (id, bleu, chrf) over a CTE ``rows`` (id, hyp, ref); counts are summed by the expression ``by``."""
     kinds = (("b", evaluation.BLEU_ORDER, _bleu_words), ("c", evaluation.CHAR_ORDER, lambda x: f"string_split(regexp_replace(coalesce({x}, ''), '\\s', '', 'g'), '')"), ("w", evaluation.WORD_ORDER, _chrf_words))
     cut = " UNION ALL ".join(f"SELECT id, '{k}' AS kind, {top} AS top, list_filter({f('hyp')}, lambda x: x <> '') AS h, list_filter({f('ref')}, lambda x: x <> '') AS r FROM {rows}" for k, top, f in kinds)
-    gram = lambda c: f"SELECT id, kind, n, CASE kind WHEN 'c' THEN array_to_string({c}[i : i + n - 1], '') ELSE array_to_string({c}[i : i + n - 1], ' ') END AS g, count(*) AS k FROM (SELECT *, unnest(range(1, greatest(1, len({c}) - n + 2))) AS i FROM orders) GROUP BY ALL"
-    return f"""cut AS ({cut}), orders AS (SELECT *, unnest(range(1, top + 1)) AS n FROM cut), gh AS ({gram("h")}), gr AS ({gram("r")}),
+    most = max(top for _, top, _ in kinds)
+    leads = ", ".join(f"lead(tok, {k}) OVER w AS a{k}" for k in range(1, most))
+    upto = " ".join(f"WHEN {n} THEN {" || ' ' || ".join(['tok', *(f'a{k}' for k in range(1, n))])}" for n in range(1, most + 1))
+    gram = lambda c: f"""SELECT id, kind, n, g, count(*) AS k FROM (SELECT id, kind, n, CASE n {upto} END AS g FROM
+  (SELECT *, {leads} FROM (SELECT id, kind, top, unnest({c}) AS tok, generate_subscripts({c}, 1) AS pos FROM cut) WINDOW w AS (PARTITION BY id, kind ORDER BY pos)),
+  (SELECT unnest(range(1, {most + 1})) AS n) WHERE n <= top) WHERE g IS NOT NULL GROUP BY ALL"""
+    return f"""cut AS MATERIALIZED ({cut}), orders AS (SELECT id, kind, len(h) AS h, len(r) AS r, unnest(range(1, top + 1)) AS n FROM cut), gh AS ({gram("h")}), gr AS ({gram("r")}),
 met AS (SELECT id, kind, n, sum(least(gh.k, gr.k)) AS m FROM gh JOIN gr USING (id, kind, n, g) GROUP BY ALL),
-counted AS (SELECT {by} AS id, kind, n, sum(greatest(0, len(h) - n + 1)) AS h, sum(greatest(0, len(r) - n + 1)) AS r, sum(coalesce(m, 0)) AS m
+counted AS (SELECT {by} AS id, kind, n, sum(greatest(0, h - n + 1)) AS h, sum(greatest(0, r - n + 1)) AS r, sum(coalesce(m, 0)) AS m
   FROM orders LEFT JOIN met USING (id, kind, n) GROUP BY ALL),
 zeros AS (SELECT *, sum((m = 0 AND h > 0)::INT) OVER (PARTITION BY id ORDER BY n) AS z FROM counted WHERE kind = 'b'),
 bleus AS (SELECT id, CASE WHEN min(h) = 0 OR sum(m) = 0 THEN 0.0 ELSE 100.0 * exp(sum(ln(CASE WHEN m = 0 THEN 1.0 / (2.0 ** z * h) ELSE m / h END)) / {evaluation.BLEU_ORDER})

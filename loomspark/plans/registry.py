@@ -560,8 +560,8 @@ def _(spark, d):
     return segments.round_trip(p, kept, ("t", "tr"))
 
 
-@query("select_by_agreement", f"""WITH rows_ AS (SELECT struct_pack(g := a.conv_id, x := a.turn, y := b.turn) AS id, a.text AS hyp, b.text AS ref FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn <> b.turn),
-{oracles.scores("rows_", "id")}, mean AS (SELECT id.g AS g, id.x AS x, avg(bleu * chrf) AS s FROM scored GROUP BY ALL),
+@query("select_by_agreement", f"""WITH rows_ AS MATERIALIZED (SELECT row_number() OVER () AS id, a.conv_id AS g, a.turn AS x, a.text AS hyp, b.text AS ref FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn <> b.turn),
+{oracles.scores("rows_", "id")}, mean AS (SELECT g, x, avg(bleu * chrf) AS s FROM scored JOIN rows_ USING (id) GROUP BY ALL),
 every AS (SELECT conv_id AS group_id, turn AS option, coalesce(s, 0) AS score FROM conversations LEFT JOIN mean ON g = conv_id AND x = turn)
 SELECT group_id, option, round(score, 6) AS score FROM every QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY score DESC, option) = 1""")
 def _(spark, d):
