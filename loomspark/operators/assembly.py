@@ -53,9 +53,17 @@ def output_name(base: str, flags: dict[str, bool]) -> str:
 
 def grouped_split(rows: DataFrame, key: str, share: float, seed: int) -> tuple[DataFrame, DataFrame]:
     """(train, valid): whole groups of one key; max(1, share of groups) of them in hash order are valid."""
-    groups = rows.select(key).distinct()
-    n = max(1, int(groups.count() * share))
-    held = groups.orderBy(R.order_key(seed, F.col(key)), key).limit(n)
+    groups = rows.select(key).distinct().withColumn("_h", R.order_key(seed, F.col(key)))
+    # Counts by the beginnings of hashes say in which range the last valid group lies: only that range is ordered.
+    counts = sorted((r[0], r[1]) for r in groups.groupBy(F.substring("_h", 1, 3)).count().collect())  # 4096 at most
+    left = max(1, int(sum(n for _, n in counts) * share))
+    at = 0
+    while at < len(counts) - 1 and counts[at][1] < left:
+        left -= counts[at][1]
+        at += 1
+    edge = counts[at][0] if counts else ""
+    last = groups.where(F.substring("_h", 1, 3) == edge).orderBy("_h", key).limit(left)
+    held = groups.where(F.substring("_h", 1, 3) < edge).unionByName(last).select(key)
     return rows.join(held, key, "left_anti").select(rows.columns), rows.join(held, key, "left_semi").select(rows.columns)
 
 
@@ -100,11 +108,13 @@ def weighted_sample(rows: DataFrame, weight: str, n: int, seed: int, key: str, r
 
 
 def packed(rows: DataFrame, order: str, length: str = "n_tokens", multiple: int = 8, bin_key: str = "bin") -> DataFrame:
-    """bin, n, end offsets and padded length of sequences laid end to end; at least one pad is added."""
-    rows = rows.groupBy(bin_key).agg(F.sort_array(F.collect_list(F.struct(order, length))).alias("_s"))
-    step = lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + x[length]))
-    ends = F.aggregate("_s", F.array().cast("array<bigint>"), lambda a, x: step(a, x))
-    out = rows.select(bin_key, F.size("_s").alias("n"), ends.alias("ends"))
+    """bin, n, end offsets and padded length of sequences laid end to end; at least one pad is added.
+
+    A bin is one training sequence, so its ends are one row; they are running sums, each made once.
+    """
+    upto = F.sum(length).over(Window.partitionBy(bin_key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    ended = rows.select(bin_key, order, upto.cast("long").alias("_e"))
+    out = ended.groupBy(bin_key).agg(F.count("*").cast("int").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct(order, "_e"))), lambda x: x["_e"]).alias("ends"))
     total = F.element_at("ends", -1)
     return out.withColumn("padded", total + multiple - F.pmod(total, F.lit(multiple)))
 

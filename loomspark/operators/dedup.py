@@ -135,5 +135,36 @@ def _aligned(a: list[str], b: list[str], edge: int, least: float) -> int:
     return best[1] if best[0] else 0
 
 
+def merge_edges(left: Column, right: Column, edge: int = 5, least: float = 80.0) -> Column:
+    """The lines (t, tr, quality) of two chunks as one list, where the end of the first repeats at the start of the second.
+
+    The offset with most matching lines wins, the first on a tie; matching lines become the
+    better of the two, lines beside each other that differ both stay, the left one first.
+    """
+    ship_package()
+    kind = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("t", "tr", "quality")]))
+
+    @F.pandas_udf(kind)
+    def merged(a: pd.Series, b: pd.Series) -> pd.Series:
+        rows = lambda x: [] if x is None else [dict(r) for r in x]
+        return pd.Series([_merged(rows(x), rows(y), edge, least) for x, y in zip(a, b, strict=True)])
+
+    return merged(left, right)
+
+
+def _merged(a: list[dict], b: list[dict], edge: int, least: float) -> list[dict]:
+    start = max(0, len(a) - edge)
+    alike = lambda x, y: bool(x["t"]) and bool(y["t"]) and S.indel(x["t"], y["t"]) >= least
+    met = {k: sum(alike(x, y) for x, y in zip(a[k:], b[:edge], strict=False)) for k in range(start, len(a))}
+    at = max(met, key=lambda k: (met[k], -k), default=None)
+    if at is None or not met[at]:
+        return a + b
+    rank = lambda x: ("MISSING" in (x["t"] or "") or "MISSING" in (x["tr"] or ""), {"high": 0, "medium": 1}.get(x["quality"], 2))
+    out, n = a[:at], min(len(a) - at, len(b), edge)
+    for x, y in zip(a[at : at + n], b, strict=False):
+        out += [min(x, y, key=rank)] if alike(x, y) else [x, y]
+    return out + a[at + n :] + b[n:]
+
+
 def rank_over(keys: Sequence[str], *order: Column | str) -> Column:
     return F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

@@ -41,7 +41,7 @@ RATES = {
     "½ GÍN.TA": 5, "1 GÍN.TA": 12, "1 ½ GÍN.TA": 51, "2 GÍN.TA": 6, "3 GÍN.TA": 9, "⅓ GÍN.TA": 2,
     "¼ GÍN.TA": 2, "⅚ GÍN.TA": 1, "1 ⅓ GÍN.TA": 2, "1 ¼ GÍN.TA": 1, "⅔ GÍN.TA": 1, "1 ⅙ GÍN.TA": 2,
 }
-COMPOUND_SHARE, FRACTION_SHARE = 0.35, 0.4
+COMPOUND_SHARE, FRACTION_SHARE, RANGES = 0.35, 0.4, 64
 
 
 def units(spark: SparkSession) -> DataFrame:
@@ -85,7 +85,7 @@ def stratified(pool: DataFrame, stratum: str, document: str, key: str, n: int, s
     rows = rows.withColumn("_d", F.row_number().over(rank(stratum, document).orderBy("_o", key)))
     diverse = rows.groupBy(stratum).agg(F.sum((F.col("_d") <= per_document).cast("int")).alias("_diverse"))
     goal = goal.join(diverse, stratum)
-    rows = rows.join(F.broadcast(goal), stratum)
+    rows = rows.join(goal, stratum)
     within = (F.col("_d") <= per_document) | (F.col("_diverse") < F.col("target")) | (F.col("target") >= F.col("available"))
     rows = rows.where(within).withColumn("_r", F.row_number().over(rank(stratum).orderBy("_o", key)))
     return rows.where("_r <= target").select(pool.columns)
@@ -99,7 +99,7 @@ def amounts(draws: DataFrame, seed: int, unit_table: DataFrame, include: bool =
     """
     k = F.col(key)
     listed = unit_table.groupBy("commodity", "c_t", "c_tr").agg(F.sort_array(F.collect_list(F.struct("low", "high", "u_t", "u_tr", "sub"))).alias("_units"))
-    rows = draws.join(F.broadcast(listed), "commodity")
+    rows = draws.join(listed, "commodity")
     rows = rows.withColumn("_u", F.get("_units", R.integer(F.size("_units"), f"{seed}unit", k)))
     rows = rows.withColumn("_s", F.get(F.filter("_units", lambda u: u["u_t"] == F.col("_u.sub")), F.lit(0)))
     rows = rows.withColumn("_two", F.col("_s").isNotNull() & (R.uniform(f"{seed}two", k) < COMPOUND_SHARE))
@@ -135,14 +135,25 @@ def amounts(draws: DataFrame, seed: int, unit_table: DataFrame, include: bool =
 def from_pool(draws: DataFrame, pool: DataFrame, seed: int, key: str = "draw") -> DataFrame:
     """``draws`` with a row of a pool (t, tr, weight) each, in proportion to the weights.
 
-    A pool is a small table of alternatives and is broadcast; a larger one is joined by range.
+    Weights are added up inside ranges of the pool and over the ranges, so no task holds all
+    of a large pool; a draw finds its range by number, and its row among those of the range.
     """
-    upto = F.sum("weight").over(Window.orderBy("t", "tr"))
-    steps = pool.select("t", "tr", upto.alias("_b"), (upto - F.col("weight")).alias("_a"))
-    total = F.broadcast(pool.agg(F.sum("weight").alias("_all")))  # one row
-    rows = draws.join(total).withColumn("_x", R.uniform(seed, F.col(key)) * F.col("_all"))
-    steps = F.broadcast(steps) if pool.limit(100_001).count() <= 100_000 else steps
-    return rows.join(steps, (F.col("_x") >= F.col("_a")) & (F.col("_x") < F.col("_b"))).select(*draws.columns, "t", "tr")
+    ranged = _in_ranges(pool.select("t", "tr", "weight"))
+    ends = F.broadcast(ranged.groupBy("_p").agg(F.max("_b").alias("_end")).agg(F.sort_array(F.collect_list(F.struct("_end", "_p"))).alias("_ends")))  # RANGES numbers, one row
+    rows = draws.join(ends).withColumn("_x", R.uniform(seed, F.col(key)) * F.element_at("_ends", -1)["_end"])
+    rows = rows.withColumn("_p", F.get(F.filter("_ends", lambda e: e["_end"] > F.col("_x")), F.lit(0))["_p"]).drop("_ends")
+    return rows.join(ranged, (rows["_p"] == ranged["_p"]) & (F.col("_x") >= F.col("_a")) & (F.col("_x") < F.col("_b"))).select(*draws.columns, "t", "tr")
+
+
+def _in_ranges(pool: DataFrame) -> DataFrame:
+    """``pool`` with its range ``_p`` in order of (t, tr) and the sum of weights before and with each row."""
+    rows = pool.repartitionByRange(RANGES, "t", "tr").withColumn("_p", F.spark_partition_id())
+    inside = F.sum("weight").over(Window.partitionBy("_p").orderBy("t", "tr", "weight").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_in", inside)
+    sums = rows.groupBy("_p").agg(F.sum("weight").alias("_w"))
+    before = sums.select("_p", (F.sum("_w").over(Window.orderBy("_p")) - F.col("_w")).alias("_before"))  # a row a range
+    rows = rows.join(F.broadcast(before), "_p")
+    return rows.select("t", "tr", "_p", (F.col("_before") + F.col("_in") - F.col("weight")).alias("_a"), (F.col("_before") + F.col("_in")).alias("_b"))
 
 
 def fill(templates: DataFrame, values: DataFrame) -> DataFrame:

@@ -11,6 +11,15 @@ from ..functions import similarity as S
 from ..functions import text as X
 
 
+FORM_BLOCK = 10_000
+
+
+def blocks(rows: DataFrame, size: int) -> list[DataFrame]:
+    """A table in hash blocks of about ``size`` rows: what is sent at once does not grow with it."""
+    n = max(1, -(-rows.count() // size))
+    return [rows] if n == 1 else [rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(n)) == k) for k in range(n)]
+
+
 def last_by(rows: DataFrame, key: Sequence[str], order: str) -> DataFrame:
     """The last row of each key, by a maximum that is combined before the shuffle."""
     rest = [c for c in rows.columns if c not in key]
@@ -148,8 +157,16 @@ def probe_lexicon(lines: DataFrame, lexicon: DataFrame, key: str = "id") -> Data
 
 
 def contains_form(lines: DataFrame, forms: DataFrame) -> DataFrame:
-    """form, id: lines that contain the form, the form's own sign of end included."""
-    return lines.join(F.broadcast(forms), F.contains(F.concat(F.lower("text"), F.lit(" ")), F.concat(F.lower("form"), F.lit(" ")))).select("form", "id")
+    """form, id: lines that contain the form, the form's own sign of end included.
+
+    Containment has no key to join on: forms, a stated query set, meet all lines in blocks of FORM_BLOCK.
+    """
+    hit = F.contains(F.concat(F.lower("text"), F.lit(" ")), F.concat(F.lower("form"), F.lit(" ")))
+    found = None
+    for part in blocks(forms.select("form"), FORM_BLOCK):
+        got = lines.join(F.broadcast(part), hit).select("form", "id")
+        found = got if found is None else found.unionByName(got)
+    return found
 
 
 def has_token(lines: DataFrame, forms: DataFrame) -> DataFrame:
@@ -171,3 +188,20 @@ def best_by_agreement(options: DataFrame, utility: Column, group: str = "group_i
     scored = met.groupBy(group, "option").agg(score)
     best = F.max_by(F.struct("option", "score"), F.struct(F.col("score"), -F.col("option"))).alias("_b")
     return scored.groupBy(group).agg(best).select(group, "_b.*")
+
+
+def map_ids(rows: DataFrame, mapping: DataFrame, holdout: DataFrame, key: str = "id") -> DataFrame:
+    """``rows`` with ``mapped``, their id in another corpus (``mapping``: id, mapped); those whose mapped id is held out go.
+
+    A row without a mapping stays, with its own id.
+    """
+    one = mapping.groupBy(F.col(key).alias("_m")).agg(F.min("mapped").alias("mapped"))
+    out = rows.join(one, F.col(key) == F.col("_m"), "left").drop("_m").withColumn("mapped", F.coalesce("mapped", F.col(key)))
+    return out.join(holdout.select(F.col(key).alias("mapped")).where("mapped is not null").distinct(), "mapped", "left_anti").select(*rows.columns, "mapped")
+
+
+def merge_predictions(rows: DataFrame, predictions: DataFrame, keys: Sequence[str] = ("oare_id", "sentence_id"), suffixes: tuple[str, str] = ("", "_pred")) -> DataFrame:
+    """``rows`` with the columns of their prediction, or nulls; columns that both have get the suffixes."""
+    both = {c for c in rows.columns if c in predictions.columns} - set(keys)
+    named = lambda frame, end: frame.select([F.col(c).alias(c + end if c in both else c) for c in frame.columns])
+    return named(rows, suffixes[0]).join(named(predictions, suffixes[1]), list(keys), "left")

@@ -45,7 +45,7 @@ means AS (SELECT id, avg(m / h) FILTER (h > 0 AND r > 0) AS p, avg(m / r) FILTER
 scored AS (SELECT id, bleu, coalesce(100.0 * 5 * p * q / nullif(4 * p + q, 0), 0) AS chrf FROM bleus JOIN means USING (id))"""
 
 
-def windows(lines: str, copies: int, seed: int, max_bytes: int) -> str:
+def windows(lines: str, copies: int | str, seed: int, max_bytes: int) -> str:
     """CTEs up to ``merged`` (id, copy, win, n_lines, t, tr) over a CTE ``lines`` (id, ts, trs: lists of one segment)."""
     weight = "CASE x " + " ".join(f"WHEN {k} THEN {w}" for k, w in segments.WINDOW_WEIGHTS.items()) + " END"
     sizes = list(segments.WINDOW_WEIGHTS)
@@ -99,3 +99,14 @@ FROM numbers v LEFT JOIN {quals} ON q.commodity = v.commodity AND q.k = v.k"""
 
 def copies_of(source: str) -> str:
     return f"CASE {source} " + " ".join(f"WHEN '{s}' THEN {n}" for s, n in assembly.COPIES.items()) + " ELSE 0 END"
+
+
+def assembled(pairs: str, seed: int, max_bytes: int) -> str:
+    """CTEs up to ``unique_`` (source, doc, n_lines, t, tr) over a CTE ``raw`` (source, priority, id, pos, t, tr, quality)."""
+    return f"""q AS (SELECT *, source || '/' || id AS doc, sum((lower(coalesce(quality, '')) = 'low')::INT) OVER (PARTITION BY source, id ORDER BY pos) AS g FROM {pairs}),
+s AS (SELECT *, dense_rank() OVER (PARTITION BY doc ORDER BY g) - 1 AS segment FROM q WHERE lower(coalesce(quality, '')) <> 'low' AND trim(t) <> '' AND trim(tr) <> ''),
+u AS (SELECT *, doc || '#' || segment AS k FROM s WHERE NOT regexp_matches(t, '(\\.\\.\\. ){{4,}}') AND NOT regexp_matches(tr, '(\\.\\.\\. ){{4,}}')),
+lines AS (SELECT k AS id, source, list(t ORDER BY pos) AS ts, list(tr ORDER BY pos) AS trs FROM u GROUP BY ALL), {windows("lines", copies_of("source"), seed, max_bytes)},
+every AS (SELECT source, priority, id, t, tr, 1 AS n_lines, 0 AS w, k, 0 AS copy, pos AS at_ FROM u UNION ALL
+  SELECT d.source, d.priority, d.id, m.t, m.tr, m.n_lines, 1, m.id, m.copy, m.win FROM merged m JOIN (SELECT DISTINCT source, priority, id, k FROM u) d ON d.k = m.id),
+unique_ AS (SELECT * FROM every WHERE trim(t) <> '' AND trim(tr) <> '' QUALIFY row_number() OVER (PARTITION BY lower(t), lower(tr) ORDER BY priority, w, k, copy, at_) = 1)"""

@@ -16,10 +16,10 @@ from ..functions import draws as R
 from ..functions import rules
 from ..functions import similarity as S
 from ..functions import text as X
-from ..operators import assembly, dedup, evaluation, filters, generation, linkage, nearest, segments, slots, training
+from ..operators import assembly, dedup, drills, evaluation, filters, generation, linkage, nearest, pools, segments, slots, training
 from ..sources import markup, responses
 from ..streaming import resume
-from . import fixtures, oracles
+from . import fixtures, oracles, stages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -608,7 +608,7 @@ def _(spark, d):
 # -- sources and streaming -------------------------------------------------------
 
 
-@query("page_blocks", r"""SELECT page_id, len(regexp_extract_all(html, '(?s)<p\b[^>]*>(.*?)</p>', 1)) AS n_blocks, len(regexp_extract_all(html, 'href=''([^'']+\.html)''', 1)) AS n_links FROM pages""")
+@query("page_blocks", r"""SELECT page_id, len(regexp_extract_all(html, '(?s)<p\b[^>]*>(.*?)</p>', 1)) AS n_blocks, len(list_filter(regexp_extract_all(html, '<a\s[^>]*href=[''"]([^''"]+)[''"]', 1), lambda x: ends_with(x, '.html') AND NOT regexp_matches(lower(x), 'liste|altass|gesamt|anfang|hethiter'))) AS n_links FROM pages""")
 def _(spark, d):
     return table(spark, d, "pages").select("page_id", F.size(markup.blocks(F.col("html"), "p")).cast("long").alias("n_blocks"), F.size(markup.links(F.col("html"))).cast("long").alias("n_links"))
 
@@ -624,3 +624,148 @@ def _(spark, d):
 @query("windowed_counts", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def _(spark, d):
     return resume.windowed_counts(table(spark, d, "events"), "ts", "1 day", "1 hour", "event_type").select("start", "event_type", "n")
+
+
+# -- joins of drills, whole runs ---------------------------------------------------
+
+
+@query("mapped_ids", """SELECT o_orderkey AS id, coalesce(l.m, o_orderkey) AS mapped FROM orders LEFT JOIN (SELECT l_orderkey, min(l_partkey) AS m FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) l ON l.l_orderkey = o_orderkey
+WHERE coalesce(l.m, o_orderkey) NOT IN (SELECT p_partkey FROM part WHERE p_size < 10)""")
+def _(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
+    mapping = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("mapped"))
+    return linkage.map_ids(rows, mapping, table(spark, d, "part").where("p_size < 10").select(F.col("p_partkey").alias("id")))
+
+
+@query("merged_predictions", """SELECT d.doc_id, d.source, d.lang AS text, l.quality::VARCHAR AS text_pred FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
+def _(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "source", F.col("lang").alias("text"))
+    said = table(spark, d, "labels").join(rows.select("doc_id", "source"), "doc_id").select("doc_id", "source", F.col("quality").cast("string").alias("text"))
+    return linkage.merge_predictions(rows, said, ("doc_id", "source"))
+
+
+def _senses(spark, d):
+    return table(spark, d, "part").select(
+        F.col("p_brand").alias("headword"), F.col("p_partkey").cast("string").alias("sense_id"), F.col("p_partkey").alias("ord"), F.col("p_size").alias("n_att"),
+        F.col("p_type").alias("gloss"), F.col("p_name").alias("domain"), F.col("p_type").alias("pos"), F.col("p_name").alias("entry_overview"),
+    )
+
+
+@query("contrastive_senses", """SELECT a.p_brand AS headword, a.p_partkey::VARCHAR AS sense_id, b.p_partkey::VARCHAR AS other FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey
+QUALIFY row_number() OVER (PARTITION BY a.p_partkey ORDER BY b.p_size DESC, b.p_partkey) <= 3""")
+def _(spark, d):
+    return drills.contrastive(_senses(spark, d), 3).select("headword", "sense_id", "other")
+
+
+@query("sense_units", """WITH e AS (SELECT p_brand, min_by(p_type, p_partkey) AS pos FROM part GROUP BY 1), x AS (SELECT 'Brand#' || (c_custkey % 60) AS b, min_by(c_name, c_custkey) AS examples FROM customer GROUP BY 1)
+SELECT p.p_brand AS headword, p_partkey::VARCHAR AS sense_id, p_type AS gloss, e.pos, CASE WHEN p_partkey % 3 = 0 THEN p_size ELSE 16 END AS n_to_generate, x.examples
+FROM part p JOIN e USING (p_brand) LEFT JOIN x ON x.b = p.p_brand WHERE p_partkey % 2 = 0""")
+def _(spark, d):
+    senses = _senses(spark, d)
+    plan = senses.where("ord % 3 = 0").select("headword", "sense_id", F.col("n_att").alias("n_to_generate"), "ord")
+    told = table(spark, d, "customer").select(F.concat(F.lit("Brand#"), F.col("c_custkey") % 60).alias("headword"), F.col("c_name").alias("examples"), F.col("c_custkey").alias("ord"))
+    out = drills.with_senses(senses.where("ord % 2 = 0").select("headword", "sense_id"), senses, plan, told)
+    return out.select("headword", "sense_id", "gloss", "pos", "n_to_generate", "examples")
+
+
+@query("drill_prompts", """WITH b AS (SELECT a.p_partkey AS k, string_agg('- ' || b.p_partkey || ' (' || b.p_size || ')', chr(10) ORDER BY b.p_size DESC, b.p_partkey) AS near FROM part a JOIN
+  (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS r FROM part) b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey
+  WHERE b.r - (SELECT count(*) FROM part c WHERE c.p_partkey = a.p_partkey AND (c.p_size > b.p_size OR c.p_size = b.p_size AND c.p_partkey < b.p_partkey)) <= 3 GROUP BY 1)
+SELECT p_brand AS headword, p_partkey::VARCHAR AS sense_id, md5('Write 16 uses of ' || p_brand || ' ' || p_partkey || ' (' || p_type || ').' || chr(10) || coalesce(near, '') || chr(10) ||
+  CASE WHEN length(p_name) <= 20 THEN p_name ELSE substr(p_name, 1, 20) || chr(10) || '[... truncated]' END) AS digest FROM part LEFT JOIN b ON k = p_partkey""")
+def _(spark, d):
+    senses = _senses(spark, d)
+    units = senses.select("headword", "sense_id", "gloss", F.lit(16).alias("n_to_generate"), F.col("domain").alias("raw_entry_text"))
+    made = drills.drill_prompt(units, senses, 3, 20, "Write {n} uses of {headword} {sense} ({gloss}).\n{contrast}\n{entry}")
+    return made.select("headword", "sense_id", F.md5(F.col("prompt").cast("binary")).alias("digest"))
+
+
+@query("grammar_prompts", """WITH w AS (SELECT l_orderkey, string_agg('- ' || l_returnflag || ': ' || l_linestatus, chr(10) ORDER BY l_linenumber, l_returnflag, l_linestatus) AS s FROM lineitem GROUP BY 1)
+SELECT 'translated_' || o_orderkey AS oare_id, o_orderpriority || '|' || coalesce(s, '') || '|rules' AS prompt FROM orders LEFT JOIN w ON l_orderkey = o_orderkey""")
+def _(spark, d):
+    seeds = table(spark, d, "orders").select(F.concat(F.lit("translated_"), "o_orderkey").alias("oare_id"), F.col("o_orderpriority").alias("t"), F.lit("").alias("tr"), F.lit(None).cast("string").alias("genre"))
+    words = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("oare_id"), F.col("l_linenumber").cast("double").alias("line_num"), F.col("l_linenumber").alias("ord"), F.col("l_returnflag").alias("word"), F.col("l_linestatus").alias("gloss"),
+    )
+    return drills.grammar_prompt(seeds, words, F.lit("rules"), "{t}|{words}|{rules}")
+
+
+@query("grammar_rules", f"""WITH s AS (SELECT c_mktsegment AS category, c_nationkey::VARCHAR AS section, min_by(c_name, c_custkey) AS title FROM customer GROUP BY ALL),
+r AS (SELECT *, count(*) OVER (PARTITION BY category) AS n, row_number() OVER (PARTITION BY category ORDER BY {R.sql_order_key(3, "category", "section")}, section) AS i FROM s),
+t AS (SELECT category, string_agg('### ' || title || chr(10) || n_name || chr(10) || CASE WHEN n_nationkey % 2 = 0 THEN 'Examples:' || chr(10) || '  ' || n_name || ' → x []' || chr(10) ELSE '' END || chr(10), '' ORDER BY i) AS x, max(n) AS n
+  FROM r JOIN nation ON n_nationkey::VARCHAR = section WHERE i <= 5 GROUP BY category)
+SELECT category, '## Grammar: ' || category || ' (' || n || ' rules, showing ' || least(n, 5) || ')' || chr(10) || chr(10) || x AS text FROM t UNION ALL SELECT 'none', 'Unknown category ''none''.'""")
+def _(spark, d):
+    index = table(spark, d, "customer").select(
+        F.col("c_mktsegment").alias("category"), F.col("c_nationkey").cast("string").alias("section"), F.col("c_name").alias("title"), F.lit(None).cast("string").alias("summary"), F.col("c_custkey").alias("ord"),
+    )
+    said = F.array(F.struct(F.col("n_name").alias("t"), F.lit("x").alias("tr"), F.lit(None).cast("string").alias("grammar")))
+    rules_ = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("section"), F.col("n_name").alias("rule"), F.when(F.col("n_nationkey") % 2 == 0, said).alias("examples"))
+    asked = index.select("category").union(spark.range(1).select(F.lit("none")))
+    return drills.grammar(asked, index, rules_, 5, 3)
+
+
+@query("lines_with_forms", f"""WITH f AS (SELECT DISTINCT string_split(text, ' ')[1] AS form FROM benchmark), m AS (SELECT form, doc_id AS id FROM documents JOIN f ON contains(lower(text) || ' ', lower(form) || ' '))
+SELECT form, id FROM m QUALIFY row_number() OVER (PARTITION BY form ORDER BY {R.sql_order_key(5, "form", "id")}, id) <= 3""")
+def _(spark, d):
+    forms = table(spark, d, "benchmark").select(F.get(F.split("text", " "), F.lit(0)).alias("form")).distinct()
+    return drills.lines_with(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), forms, 3, 5)
+
+
+@query("distinct_counts", "SELECT count(DISTINCT source) AS source, count(DISTINCT lang) AS lang, count(DISTINCT doc_id) AS doc_id FROM documents")
+def _(spark, d):
+    return drills.distinct_counts(table(spark, d, "documents"), "source", "lang", "doc_id")
+
+
+def _sql_pick(rows, seed: str, key: str, side: int) -> str:
+    return "[" + ", ".join("'" + r[side].replace("'", "''") + "'" for r in rows) + f"][floor({R.sql_uniform(seed, key)} * {len(rows)})::INT + 1]"
+
+
+_KINDS = list(pools.POOLS)
+
+
+@query("pool_draws", "SELECT c_custkey AS draw, kind, t, tr FROM (" + " UNION ALL ".join(
+    f"SELECT c_custkey, '{k}' AS kind, {_sql_pick(rows, f'7{k}', 'c_custkey', 0)} AS t, {_sql_pick(rows, f'7{k}', 'c_custkey', 1)} AS tr FROM customer" for k, rows in pools.POOLS.items()) + ")")
+def _(spark, d):
+    each = F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), pools.pick(k, 7, F.col("c_custkey")).alias("v")) for k in _KINDS]))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("draw"), each).select("draw", "kind", "v.t", "v.tr")
+
+
+@query("constrained_draws")
+def _(spark, d):
+    """Containers by contents, taxes by commodity, places by institution, rates and time limits."""
+    goods = F.get(F.array(*[F.lit(x) for x in ("silver", "barley", "textiles", "wood", "copper", "tin", "gold")]), F.pmod("c_custkey", F.lit(7)).cast("int"))
+    k = F.col("c_custkey")
+    return table(spark, d, "customer").select(
+        k.alias("draw"), goods.alias("commodity"), pools.container(goods, 3, k)["tr"].alias("container"), pools.tax(goods, 3, k)["tr"].alias("tax"), pools.institution(3, k)["tr"].alias("institution"),
+        pools.institution(3, k)["place_tr"].alias("place"), pools.interest(3, k)["tr"].alias("interest"), pools.exchange(goods, 3, k)["tr"].alias("exchange"), pools.deadline(3, k)["tr"].alias("deadline"),
+        pools.small_h(pools.pick("month", 3, k)["tr"]).alias("month"),
+    )
+
+
+_TEMPLATES = [("t1", "loan", "{N_TL} ma-na", "{N_TR} minas"), ("t2", "loan", "{N_TL} GÍN", "{N_TR} shekels"), ("t3", "seal", "KIŠIB {N_TL}", "seal {N_TR}")]
+
+
+@query("generate_templates", f"""WITH t AS (SELECT * FROM (VALUES {", ".join(str(x) for x in _TEMPLATES)}) AS t(id, category, t, tr)),
+d AS (SELECT range AS draw, CASE WHEN {R.sql_uniform("5category", "range")} < 0.75 THEN 'loan' ELSE 'seal' END AS category FROM range(0, 90)),
+p AS (SELECT draw, d.category, list(id ORDER BY id) AS ids FROM d JOIN t USING (category) GROUP BY ALL),
+f AS (SELECT draw, category, ids[floor({R.sql_uniform("5template", "draw")} * len(ids))::INT + 1] AS id, floor({R.sql_uniform("5n", "draw || '/N'")} * 12)::INT + 1 AS n FROM p),
+g AS (SELECT draw, f.id AS template_id, f.category, replace(t, '{{N_TL}}', n::VARCHAR) AS t, replace(tr, '{{N_TR}}', n::VARCHAR) AS tr FROM f JOIN t USING (id)),
+u AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY t, tr ORDER BY draw) = 1) SELECT * FROM u ORDER BY draw LIMIT 30""")
+def _(spark, d):
+    slot = "array(named_struct('name', 'N', 'type', 'amount', 'options', cast(null as map<string,string>), 'values', cast(null as array<string>))) as slots"
+    templates = spark.createDataFrame(_TEMPLATES, "id string, category string, t string, tr string").selectExpr("*", slot)
+    return pools.generate(templates, 30, 5, pools.table(spark), generation.units(spark), {"loan": 3.0, "seal": 1.0})
+
+
+_RAW = f"raw AS (SELECT CASE conv_id % 3 WHEN 0 THEN 'expert' WHEN 1 THEN 'akt' ELSE 'cad' END AS source, CASE conv_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS priority, conv_id AS id, turn AS pos, t, tr, quality FROM pairs)"
+
+
+@query("assemble_all", f"""WITH RECURSIVE {_PAIRS}, {_RAW}, {oracles.assembled("raw", 13, 1500)}
+SELECT source, id % 10 = 0 AS valid, count(*) AS n, sum(n_lines)::BIGINT AS lines, count(DISTINCT id) AS documents, sum(length(t))::BIGINT AS sum_t, max(length(tr)) AS max_tr FROM unique_ GROUP BY ALL""")
+def _(spark, d):
+    p = pairs(spark, d).select(F.col("conv_id").alias("id"), F.col("turn").alias("pos"), "t", "tr", "quality")
+    sources = {name: p.where(f"id % 3 = {k}") for k, name in enumerate(("expert", "akt", "cad"))}
+    source = F.when(F.col("id") % 3 == 0, "expert").when(F.col("id") % 3 == 1, "akt").otherwise("cad")
+    made = stages.assemble(sources, p.where("id % 10 = 0").select(source.alias("source"), "id"), 13, 1500, normalized=False)
+    return made["statistics"].select("source", "valid", "n", "lines", "documents", "sum_t", "max_tr")

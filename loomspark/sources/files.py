@@ -61,7 +61,7 @@ def resumable(spark: SparkSession, path: str, schema: StructType | str, key: str
     kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     found = optional_jsonl(spark, path, StructType([*kind.fields, StructField("_corrupt_record", StringType())]))
     names = [f.name for f in kind.fields]
-    broken = found.select(*names, "_corrupt_record").where("_corrupt_record is not null").limit(1).count() if found.columns else 0
+    broken = found.agg(F.sum(F.col("_corrupt_record").isNotNull().cast("int")), F.count(names[0])).first()[0]
     rows = spark.createDataFrame([], kind) if broken else found.select(names)
     return rows, rows.select(key).where(F.col(key).isNotNull()).distinct()
 

@@ -359,3 +359,83 @@ def test_slots(spark):
     units = F.array(F.struct(F.lit(1).alias("low"), F.lit(60).alias("high"), F.lit("GÍN").alias("u_t"), F.lit("shekels").alias("u_tr")))
     simple = spark.range(300).select(slots.simple_amount(units, F.lit("AN.NA"), F.lit("tin"), "7", F.col("id")).alias("v")).select("v.*").collect()
     assert {r.t for r in simple} == {f"{n} GÍN AN.NA" for n in range(1, 31)} and {r.tr for r in simple if r.t[:2] == "1 "} == {"1 shekel of tin"}
+
+
+def test_files_of_one_name_in_three_folders(spark, tmp_path):
+    for k, folder in enumerate("abc"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "pairs.jsonl").write_text("".join(f'{{"id": "{folder}{i}", "match_quality": "{"high" if i else "low"}"}}\n' for i in range(k + 1)))
+    schema = "id string, match_quality string"
+    rows = files.tagged_jsonl(spark, {f: f"{tmp_path}/{f}/pairs.jsonl" for f in "abc"} | {"none": f"{tmp_path}/d/pairs.jsonl"}, schema)
+    assert sorted((r.id, r.mode) for r in rows.collect()) == [("a0", "a"), ("b0", "b"), ("b1", "b"), ("c0", "c"), ("c1", "c"), ("c2", "c")]
+    assert {(r.mode, r.match_quality): r.n for r in files.quality_by_mode(rows).collect()}["c", "high"] == 2
+    assert files.labelled_jsonl(spark, f"{tmp_path}/b/pairs.jsonl", "x", schema).where("mode = 'x'").count() == 2
+
+
+def test_dictionary_and_key_values(spark, tmp_path):
+    (tmp_path / "d.jsonl").write_text('{"mt_transliteration": " a ", "mt_translation": "b\\t"}\n{"mt_transliteration": " ", "mt_translation": "b"}\n{"mt_translation": "c"}\n')
+    assert [tuple(r) for r in files.dictionary_pairs(spark, f"{tmp_path}/d.jsonl").collect()] == [("a", "b")]
+    (tmp_path / "t.csv").write_text('oare_id,x,translation\n1,a,"one\n line"\n2,b,two\n1,c,last\n')
+    assert sorted(map(tuple, files.key_values(spark, f"{tmp_path}/t.csv").collect())) == [("1", "last"), ("2", "two")]
+
+
+def test_resumable_starts_over_where_a_line_is_broken(spark, tmp_path):
+    schema = "batch_index int, text string"
+    rows, done = files.resumable(spark, f"{tmp_path}/none", schema)
+    assert not rows.count() and not done.count()
+    (tmp_path / "ok.jsonl").write_text('{"batch_index": 1, "text": "a"}\n{"batch_index": 1, "text": "b"}\n{"batch_index": 3}\n')
+    rows, done = files.resumable(spark, f"{tmp_path}/ok.jsonl", schema)
+    assert rows.count() == 3 and sorted(r[0] for r in done.collect()) == [1, 3] and rows.columns == ["batch_index", "text"]
+    (tmp_path / "bad.jsonl").write_text('{"batch_index": 1, "text": "a"}\n{"batch_index": 2, "te')
+    rows, done = files.resumable(spark, f"{tmp_path}/bad.jsonl", schema)
+    assert not rows.count() and not done.count()
+
+
+def test_merged_edges(spark):
+    line = lambda t, q="high", tr="x": (t, tr, q)
+    a = [line("first line of all"), line("second line here", "low"), line("third line there")]
+    b = [line("second line here!", "high"), line("quite other words"), line("last of the lines")]
+    kind = "array<struct<t:string,tr:string,quality:string>>"
+    rows = spark.createDataFrame([(a, b), (a, [line("nothing alike 12345")]), (a, None), ([], b)], f"a {kind}, b {kind}")
+    got = [[x.t for x in r[0]] for r in rows.select(dedup.merge_edges(rows.a, rows.b)).collect()]
+    assert got[0] == ["first line of all", "second line here!", "third line there", "quite other words", "last of the lines"]
+    assert got[1] == [x[0] for x in a] + ["nothing alike 12345"] and got[2] == [x[0] for x in a] and got[3] == [x[0] for x in b]
+
+
+def test_nested_entries_once(spark):
+    att = "struct<raw_transliteration:string,source_ref:string>"
+    kind = f"chunk int, entries array<struct<headword:string,senses:array<struct<sense_id:string,gloss:string,oa_attestations:array<{att}>>>>>"
+    entries = [("h", [("1", "g", [("text a", "ref"), ("text b", "ref")]), ("2", "g", [("text a", "ref")])])]
+    rows = responses.distinct_attestations(spark.createDataFrame([(1, entries)], kind)).collect()
+    assert sorted((r.raw_transliteration, r.sense_id) for r in rows) == [("text a", "1"), ("text b", "1")]
+
+
+def test_responses_that_need_no_recovery(spark):
+    first, last = responses.FRAMES[0]
+    said = ['[{"k": 1}, {"k": 2}]', ' ```json\n[{"k": 3}]\n``` ', f'{first}\n[{{"k": 4}}]\n{last}', 'Here: [{"k": 5}] thanks', '[{"k": 6}, {"k": ', None, "[]"]
+    rows = responses.parse(spark.createDataFrame([(k, x) for k, x in enumerate(said)], "n int, response string"), "k int", ("k",)).collect()
+    assert [[x.k for x in r["items"]] for r in sorted(rows)] == [[1, 2], [3], [4], [5], [6], [], []]
+
+
+def test_curation_runs_and_resumes(spark, tmp_path):
+    from loomspark.plans import stages
+
+    pair = "id string, pos int, t string, tr string, quality string"
+    made = lambda rows, kind=pair: spark.createDataFrame(rows, kind)
+    tables = {
+        "expert": made([("e1", "um-ma a-na", "thus to the gold")], "id string, t string, tr string"), "fixes": made([("e1", 0, "gold", "silver")], "id string, ord int, find string, replace string"),
+        "splits": made([("e1", 0, "um-ma", "thus", "high"), ("e1", 1, "a-na", "to the silver", "high")]),
+        "extracted": made([("a1", 1, 1, 1, 1, "šu-ma a-na", "if to him", "high")], "id string, chunk int, ord int, start int, end int, t string, tr string, quality string"),
+        "dictionary": made([("d1", 0, "be-lu a-na bi-tim", "the lord goes to his house", "high"), ("d1", 1, "be-lu", "lord", "high")]),
+        "articles": made([("m1", 0, "a-hu-um", "a brother here", "high")]),
+        "published": made([("p1", 0, "DUMU A-šùr", "son of Assur", "high", "al", None, None)], pair + ", alias string, museum_no string, excavation_no string"),
+        "lookups": made([("alias", "al", "oare-7")], "method string, key string, matched string"),
+        "responses": made([("s1", 0, "a-na", "to someone", "high"), ("s1", 1, "new-one", "a new pair", "high")]),
+        "holdout": made([("michel", "m1")], "source string, id string"),
+    }
+    out = stages.run(spark, str(tmp_path), stages.curation(3, 1000), tables)
+    rows = {(r.source, r.id, r.valid, r.n_lines) for r in out["training"].collect()}
+    assert {("expert", "e1", False, 1), ("expert", "e1", False, 2), ("akt", "a1", False, 1), ("cad", "d1", False, 1), ("michel", "m1", True, 1), ("hecker", "oare-7", False, 1), ("synthetic", "s1", False, 1)} <= rows
+    assert [r.tr for r in out["expert_pairs"].orderBy("pos").collect()] == ["thus", "to the silver"] and out["synthetic_pairs"].count() == 1
+    again = stages.run(spark, str(tmp_path), stages.curation(3, 1000), {})  # nothing is made again
+    assert again["training"].count() == out["training"].count()
