@@ -186,7 +186,8 @@ COMMON = frozenset(
     "the these this to under use v version with without work written you your law author authors possible included example above accompanying agreed "
     "applicable any appear arising available basis conditions copies damages data database document documentation either event express fee held hereby "
     "implied kind liable made may name names neither nor notice obtain open or permission program programs promote products provided purpose required "
-    "software specific terms their this unless used warranties warranty will writing boost standard union european".split()
+    "software specific terms their this unless used warranties warranty will writing boost standard union european "
+    "nc nd sa".split()
 )
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 _NUMBER = re.compile(rb"v?\d+")
