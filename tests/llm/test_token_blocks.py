@@ -38,6 +38,13 @@ def test_cut_texts_have_the_ids_of_whole_texts(text):
     assert [e.encode(text)] == e.whole([text])
 
 
+def test_both_patterns_cut_alike_round_every_common_character():
+    for c in map(chr, range(0x2100)):
+        if not T._UNCOMMON.search(c):
+            text = f"a{c}b {c}{c} {c}1{c} '{c}s{c}'s  {c}\n {c}"
+            assert T._COMMON_PIECES.findall(text) == T._PIECES.findall(text), hex(ord(c))
+
+
 def test_forgetting_changes_nothing():
     e = T.Encoder(tokenizer_path())
     e.pieces.bound = 3
