@@ -439,3 +439,24 @@ def test_curation_runs_and_resumes(spark, tmp_path):
     assert [r.tr for r in out["expert_pairs"].orderBy("pos").collect()] == ["thus", "to the silver"] and out["synthetic_pairs"].count() == 1
     again = stages.run(spark, str(tmp_path), stages.curation(3, 1000), {})  # nothing is made again
     assert again["training"].count() == out["training"].count()
+
+
+def test_nearest_in_bounded_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    # Every vector stands 50 times: only keys order the copies, wherever a matrix product has them.
+    vectors = np.tile(np.random.default_rng(3).normal(size=(200, 7)).astype(np.float32), (50, 1))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), pa.array(list(vectors), pa.list_(pa.float32()))], ["vec_id", "embedding"])
+    ids = np.arange(4000)
+    tracemalloc.start()
+    found = {}
+    for q, keys, _ in nearest.best_rows(iter([batch, batch.slice(0, 0)]), ids, vectors[:4000].astype(np.float64), 3):
+        for a, b in zip(q.tolist(), keys.tolist(), strict=True):
+            found.setdefault(a, []).append(b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6  # all products at once take 320 MB
+    assert found == {q: [x for x in range(q % 200, 10_000, 200) if x != q][:3] for q in range(4000)}
